@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veduta.llm.exact_dedup import exact_duplicates
+from veduta.llm.language_id import identify_languages
 from veduta.llm.mixing import mix_documents
+from veduta.llm.quality import score_quality
+from veduta.llm.samples import held_out
 from veduta.llm.sharding import shard_documents
 from veduta.llm.tables import table
+from veduta.llm.toxicity import score_toxicity
 from veduta.llm.url_filters import judge_urls
 
 
@@ -28,11 +33,27 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = identify_languages(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
