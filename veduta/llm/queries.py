@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veduta.llm.exact_dedup import exact_duplicates
+from veduta.llm.html_extraction import extract_pages
 from veduta.llm.language_id import identify_languages
 from veduta.llm.mixing import mix_documents
 from veduta.llm.quality import score_quality
@@ -37,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
