@@ -9,6 +9,7 @@ from veduta.llm.exact_dedup import exact_duplicates
 from veduta.llm.html_extraction import extract_pages
 from veduta.llm.language_id import identify_languages
 from veduta.llm.mixing import mix_documents
+from veduta.llm.near_dedup import near_duplicates
 from veduta.llm.quality import score_quality
 from veduta.llm.samples import held_out
 from veduta.llm.sharding import shard_documents
@@ -34,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op9_quality": op9_quality,
@@ -65,6 +71,28 @@ QUERIES = {
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op5_near_dedup": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), sh AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
+                   THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                   WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+          FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+          FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), e AS (
+          SELECT x, y FROM common JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id
+          WHERE 100 * i >= 75 * (p.n + q.n - i)
+        ), r AS (
+          SELECT doc_id, doc_id AS c FROM w
+          UNION
+          SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x
+        ), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept
+        FROM m LEFT JOIN n ON m.doc_id = n.doc_id""",
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents)
         SELECT doc_id,
