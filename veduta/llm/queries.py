@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veduta.llm.decontamination import contaminated
 from veduta.llm.exact_dedup import exact_duplicates
 from veduta.llm.html_extraction import extract_pages
 from veduta.llm.language_id import identify_languages
@@ -47,6 +48,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
+    "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }

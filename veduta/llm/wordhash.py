@@ -9,7 +9,7 @@ Edge cases: null and empty texts give no words; a text of any length is one arra
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
@@ -54,7 +54,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def blocks(texts: Sequence[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def blocks(texts: Sequence[str | None], limit: int = BLOCK_BYTES, encode: Callable[[str], bytes] = utf8) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Yields (first row, end row, bytes, row starts) for runs of rows of about ``limit`` bytes.
 
     Each text is followed by one space, so words never cross rows; ``row starts`` has one more
@@ -62,7 +66,7 @@ def blocks(texts: Sequence[str | None], limit: int = BLOCK_BYTES) -> Iterator[tu
     parts: list[bytes] = []
     first = total = 0
     for i, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
+        b = encode(t) if isinstance(t, str) else b""
         if parts and total + len(b) > limit:
             yield first, i, b" ".join(parts) + b" ", _starts(parts)
             parts, first, total = [], i, 0
