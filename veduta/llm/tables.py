@@ -14,14 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where that is
+    unset (tests, local mode) a temporary one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veduta-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, local
-    mode) a temporary one is made."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veduta-checkpoint-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
