@@ -148,7 +148,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     picked = bounded_sample(known, "toxic", max(POSITIVES, NEGATIVES))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     confirmed = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id").toPandas()
-    other = bounded_sample(texts.join(picked.select("doc_id"), "doc_id", "left_anti").withColumn("_all", F.lit(1)), "_all", UNLABELLED).orderBy("doc_id").toPandas()
+    # Ids are sampled first, so that texts of the sample alone leave the scan.
+    free = bounded_sample(texts.select("doc_id", F.lit(1).alias("_all")).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti"), "_all", UNLABELLED)
+    other = texts.join(F.broadcast(free.select("doc_id")), "doc_id").orderBy("doc_id").toPandas()
     features = list(feature_rows([t if isinstance(t, str) else None for t in confirmed["text"]]))
     y = confirmed["toxic"].to_numpy(dtype=int)
     part = np.arange(len(y)) % 3
