@@ -1,6 +1,6 @@
 """Queries by subject; importing this package registers them all."""
 
-from veduta.plans import catalogue
+from veduta.plans import audit, catalogue, scalars, sequences
 from veduta.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalogue"]
+__all__ = ["QUERIES", "SQL", "audit", "catalogue", "scalars", "sequences"]
