@@ -18,11 +18,12 @@ def json_documents(spark: SparkSession, path: str, element: str, field: str = "a
     """Elements of whole-document JSON files: a list, or an object with the list under ``field``.
 
     ``element`` is the DDL of an element's fields."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     listed = F.from_json("value", f"array<struct<{element}>>")
     wrapped = F.from_json("value", f"struct<{field}: array<struct<{element}>>>")[field]
     is_list = F.ltrim("value").startswith("[")
-    return whole.select(F.explode(F.when(is_list, listed).otherwise(wrapped)).alias("e")).select("e.*")
+    rows = whole.where(is_list).select(F.inline(listed))
+    return rows.unionByName(whole.where(~is_list).select(F.inline(wrapped)))
 
 
 def stage_json_lines(df: DataFrame, path: str) -> None:
