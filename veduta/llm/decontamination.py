@@ -262,13 +262,15 @@ def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
-            ids, out = batch["doc_id"].tolist(), []
+            ids, out = [int(x) if isinstance(x, str) else None for x in batch["doc_id"]], []
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             for r, i, distance, end in index.matches(texts):
                 out.append((ids[r], index.ids[i], len(index.items[i]), distance, end))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "item_words", "edit_distance", "end_word"]).astype({"doc_id": "Int64"})
+            named = pd.DataFrame(out, columns=["doc_id", "item_id", "item_words", "edit_distance", "end_word"])
+            yield named.assign(doc_id=pd.array([o[0] for o in out], dtype="Int64"), item_id=pd.array([o[1] for o in out], dtype="Int64"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInPandas(search, _RESULT)
+    # Ids go as text, so that nulls among them do not turn the rest into floats.
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").where("text is not null").mapInPandas(search, _RESULT)
 
 
 def item_slices(benchmark: DataFrame, recall: float, at_once: int) -> list[Callable[[], ItemIndex]]:

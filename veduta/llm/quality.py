@@ -93,7 +93,7 @@ class QualityModel:
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
         total = weight.sum(axis=1)
         share = (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
-        return np.where((total > 0) & (counts.sum(axis=1) > 0), share, self.base)
+        return np.clip(np.where((total > 0) & (counts.sum(axis=1) > 0), share, self.base), 0, 1)
 
 
 def weighted(counts: np.ndarray) -> np.ndarray:
