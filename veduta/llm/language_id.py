@@ -60,17 +60,17 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
-    def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = (1 + np.log(counts[at])) * self.idf[at]
-        return at, (x / max(np.sqrt((x * x).sum()), 1e-12)).astype(np.float32)
+    def features(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF values of the bins ``at``, with logarithmic term frequencies."""
+        x = (1 + np.log(counts)) * self.idf[at]
+        return (x / max(np.sqrt((x * x).sum()), 1e-12)).astype(np.float32)
 
     def logits(self, text: str | None) -> np.ndarray | None:
         counts = gram_counts(text)
         if counts is None:
             return None
-        at, x = self.features(counts)
-        return x @ self.weights[at] + self.bias
+        at = np.flatnonzero(counts)
+        return self.features(at, counts[at]) @ self.weights[at] + self.bias
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         names, scores = [], []
@@ -135,14 +135,19 @@ def fit_language_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     languages = sorted({r["lang"] for r in taken})
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; MOST_LANGUAGES is {MOST_LANGUAGES}")
-    counted = [(c, languages.index(r["lang"])) for r in taken if (c := gram_counts(r["text"])) is not None]
+    counted = []  # (bins, counts there, language): a few thousand bins a document
+    for r in taken:
+        if (c := gram_counts(r["text"])) is not None:
+            at = np.flatnonzero(c).astype(np.int32)
+            counted.append((at, c[at].astype(np.float32), languages.index(r["lang"])))
+    del taken
     if not counted:
         return LanguageModel([], np.ones(BINS), np.zeros((BINS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     seen = np.zeros(BINS)
-    for c, _ in counted:
-        seen += c > 0
+    for at, *_ in counted:
+        seen[at] += 1
     model = LanguageModel(languages, np.log((1 + len(counted)) / (1 + seen)) + 1, np.zeros((BINS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0)
-    rows_ = [(*model.features(c), y) for c, y in counted]
+    rows_ = [(at, model.features(at, n), y) for at, n, y in counted]
     fitted, kept = [r for i, r in enumerate(rows_) if i % 5 or len(rows_) < 20], [r for i, r in enumerate(rows_) if i % 5 == 0]
     model.weights, model.bias = fit_ftrl(fitted, len(languages))
     logits = np.stack([x @ model.weights[at] + model.bias for at, x, _ in kept])
