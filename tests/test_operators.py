@@ -11,7 +11,7 @@ from veduta.operators.line_classes import classify_lines, split_lines
 from veduta.operators.matching import match_steps, similar_names, tier_score
 from veduta.operators.reconcile import collision_guard, field_plan, reconcile
 from veduta.operators.rules import canonical_event_type
-from veduta.operators.sequences import carry_forward, round_robin, running_budget
+from veduta.operators.sequences import anchored_groups, carry_forward, round_robin, running_budget
 
 ROWS = st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9)), max_size=8)
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -150,3 +150,17 @@ def test_line_classes(spark):
     lines = split_lines(spark.createDataFrame([(1, 0, page)], "page int, block int, text string"), "page", "block", "text")
     got = [r["class"] for r in classify_lines(lines, "page", ["block", "line"]).orderBy("block", "line").collect()]
     assert got == ["title", "blank", "header", "entry", "item", "name", "prose", "number"]
+
+
+@FEW
+@given(values=st.lists(st.integers(0, 60), max_size=12))
+def test_anchored_groups(spark, values):
+    values, want, anchor = sorted(float(v) for v in values), [], None
+    for v in values:
+        if anchor is None or v - anchor > 7:
+            anchor = v
+            want.append((want[-1] if want else -1) + 1)
+        else:
+            want.append(want[-1])
+    df = spark.createDataFrame([(values,)], "v array<double>")
+    assert df.select(anchored_groups(F.col("v"), 7.0)).first()[0] == want

@@ -44,3 +44,15 @@ def identity_shape(value: Column, source: Column) -> Column:
     for test, shape in zip(tests[1:], SHAPES[1:], strict=False):
         out = out.when(F.coalesce(test, F.lit(False)), shape)
     return out.otherwise(SHAPES[-1])
+
+
+#: Fixed value: the namespace of url names, as hex.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """Version 5 UUID of a name: SHA-1 of namespace and name with version and variant bits set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    parts = (F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.concat_ws("-", *parts)

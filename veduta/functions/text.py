@@ -129,3 +129,15 @@ def is_empty(c: Column) -> Column:
 
 def first_non_empty(*cs: Column) -> Column:
     return F.coalesce(*[F.when(~is_empty(c), c) for c in cs])
+
+
+#: Words that stay lower-case inside a title.
+SMALL_WORDS = ("a", "and", "de", "del", "der", "des", "di", "du", "el", "en", "et", "la", "las", "le", "les", "los", "of", "the", "und", "y")
+
+
+def smart_title(c: Column) -> Column:
+    """Titles of at least 80 % capitals in title case, small words inside them lower; others stay."""
+    letters, capitals = F.length(F.regexp_replace(c, r"[^\p{L}]", "")), F.length(F.regexp_replace(c, r"[^\p{Lu}]", ""))
+    words = F.split(F.initcap(F.lower(c)), " ")
+    small = F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(*SMALL_WORDS), F.lower(w)).otherwise(w))
+    return F.when((letters > 0) & (capitals >= 0.8 * letters), F.array_join(small, " ")).otherwise(c)

@@ -65,3 +65,16 @@ def round_robin(df: DataFrame, key: str, order: Column, start: int) -> DataFrame
     n = F.count(F.lit(1)).over(Window.partitionBy())
     index = F.row_number().over(Window.orderBy(order, key)) - 1
     return df.withColumn("turn", F.pmod(index - start, n).cast("int"))
+
+
+def anchored_groups(sorted_values: Column, gap: float) -> Column:
+    """Group number of every value of a sorted array of doubles: a group takes the values within
+    ``gap`` of its first one. (Sessions differ: there the gap counts from the last value.)"""
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = acc["anchor"].isNull() | (x - acc["anchor"] > gap)
+        no = F.when(fresh, acc["no"] + 1).otherwise(acc["no"])
+        return F.struct(F.when(fresh, x).otherwise(acc["anchor"]).alias("anchor"), no.alias("no"), F.concat(acc["out"], F.array(no)).alias("out"))
+
+    return F.aggregate(sorted_values, start, step, lambda acc: acc["out"])

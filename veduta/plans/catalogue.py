@@ -298,3 +298,18 @@ def city_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def month_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by month and type."""
     return binding.occurrences(spark, sf_dir).groupBy(year_month(F.col("date")).alias("month"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(
+    "schedule_email",
+    """
+    WITH d AS (SELECT venue_id, date, string_agg(event_type || ' #' || event_id, ', ' ORDER BY event_type, event_id) AS entry FROM ev WHERE date BETWEEN DATE '1996-09-01' AND DATE '1997-08-31' GROUP BY venue_id, date)
+    SELECT venue_id, string_agg(strftime(date, '%Y-%m-%d') || ': ' || entry, chr(10) ORDER BY date) AS body, count(*) AS days FROM d GROUP BY venue_id""",
+    "ev",
+)
+def schedule_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per venue a text of its season: one line a day, entries of a day in order (group, then sort inside)."""
+    item = F.struct("event_type", "event_id", F.concat_ws(" #", "event_type", "event_id").alias("text"))
+    days = in_season(binding.occurrences(spark, sf_dir)).groupBy("venue_id", "date").agg(F.array_sort(F.collect_list(item))["text"].alias("e"))
+    line = F.struct("date", F.concat(F.col("date").cast("string"), F.lit(": "), F.array_join("e", ", ")).alias("line"))
+    return days.groupBy("venue_id").agg(F.array_join(F.array_sort(F.collect_list(line))["line"], "\n").alias("body"), F.count(F.lit(1)).alias("days"))

@@ -121,3 +121,14 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title keys of the documents' headings, their first lines."""
     heading = F.substring_index(text.text_or_empty(F.col("text")), "\n", 1)
     return binding.articles(spark, sf_dir).select("doc_id", text.title_key(heading).alias("title_key"))
+
+
+@query(
+    "url_uuids",
+    """
+    SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+    FROM (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)""",
+)
+def url_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 5 UUID of every page url."""
+    return binding.pages(spark, sf_dir).select("page_id", identity.uuid5(F.col("url")).alias("uuid"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from veduta import binding
 from veduta.operators.dedup import pick_best
-from veduta.operators.sequences import carry_forward, round_robin, running_budget, runs, sessions, stable_positions
+from veduta.operators.sequences import anchored_groups, carry_forward, round_robin, running_budget, runs, sessions, stable_positions
 from veduta.plans.registry import query
 
 
@@ -160,3 +160,14 @@ def tumbling_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = binding.usage(spark, sf_dir).groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type")
     out = by.agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "cents")
+
+
+@query("anchored_bursts")
+def anchored_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user and day the bursts of records, each within an hour of its first, and their sizes.
+
+    The array holds one user's day."""
+    seconds = F.array_sort(F.collect_list(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")))
+    days = binding.usage(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(seconds.alias("s"))
+    each = days.select("user_id", "day", F.explode(anchored_groups(F.col("s"), 3600.0)).alias("burst"))
+    return each.groupBy("user_id", "day", "burst").agg(F.count(F.lit(1)).alias("records"))
