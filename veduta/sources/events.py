@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veduta.functions.dates import clock, strict_iso_date
 from veduta.functions.identity import event_key
+from veduta.operators.dedup import pick_best
 
 _EVENT = "array<struct<`@id`: string, `@type`: string, name: string, startDate: string, endDate: string, url: string, location: struct<name: string>>>"
 _BLOCK = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
@@ -52,9 +55,7 @@ def split_quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(F.size("errors") == 0).drop("errors"), events.where(F.size("errors") > 0)
 
 
-def season_rows(events: DataFrame, first, last) -> DataFrame:
+def season_rows(events: DataFrame, first: date, last: date) -> DataFrame:
     """Events of a season, last row of every key, by (date, start_time, key)."""
-    from veduta.operators.dedup import pick_best
-
     kept = events.where(F.col("date").between(F.lit(first), F.lit(last)))
     return pick_best(kept, ["event_key"], [F.col("date"), F.coalesce("start_time", F.lit(""))]).orderBy("date", F.coalesce("start_time", F.lit("")), "event_key")
