@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veduta.llm.tables import checkpointed
+from veduta.llm.tables import stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,16 +32,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; component is the least node reachable.
 
     ``edges`` has long columns u and v; null ends and loops are ignored, repeated and reversed edges
-    count once, no edges give no rows. Each round halves distances and is checkpointed; rounds end
+    count once, no edges give no rows. Each round halves distances and is stored; rounds end
     when the edges have become stars. Only two numbers a round reach the driver."""
-    stars = checkpointed(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    stars = stored(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(most_rounds):
         now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark or now[0] == 0:
             break
         mark = now
-        stars = checkpointed(_small_star(_large_star(stars)))
+        stars = stored(_small_star(_large_star(stars)))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veduta.llm.tables import checkpointed, without, word_count
+from veduta.llm.tables import stored, without, word_count
 
 #: Weights of the sources in code-point order (null last), repeating.
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -81,7 +81,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Seq
     keyed = thin.select("doc_id", "source", "size", key.alias("_key")).withColumn(
         "_range", F.least(F.lit(KEY_RANGES - 1), F.floor((1 - F.exp(-F.col("_key"))) * KEY_RANGES).cast("int"))
     )
-    rows = checkpointed(keyed)
+    rows = stored(keyed)
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,13 +11,16 @@ and are represented by their least doc_id; everything below runs on representati
 3. Texts of candidate clusters are fetched once and compared exactly on full shingle sets, again
    keeping spanning edges of true links only, which the components of all links need.
 
-Buckets and clusters beyond BLOCK members (or BLOCK_SHINGLES) are cut into blocks and worked on by
-pairs of blocks in separate tasks, so that no task holds an unbounded group.
+A bucket or cluster of BLOCK members (or BLOCK_SHINGLES) at most is one task's group. A larger one
+is first compared with HUBS of its members; what is linked through them needs no more comparing,
+as only components count. The members outside its largest component are then compared with all its
+members, in blocks dealt to many tasks. So a family of near copies that holds a third of all rows
+costs rows in proportion to its size, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veduta.llm.components import components
-from veduta.llm.tables import checkpointed, without
+from veduta.llm.tables import stored, without
 from veduta.llm.wordhash import mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -35,6 +38,8 @@ HASHES = BANDS * ROWS
 #: Minhashes compared between two looks at the posterior, and the probability of pruning a link.
 BATCH, MISS = 32, 1e-5
 BLOCK, BLOCK_SHINGLES = 512, 1_500_000
+#: Members of a large group that all others are compared with first, and rows compared at once.
+HUBS, CHUNK = 3, 256
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -179,67 +184,106 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def in_block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
-    """Adds (_i, _j): the pairs of the group's blocks that a row takes part in.
+def _star(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    moved = np.flatnonzero(ids != ids[label])
+    return pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]})
 
-    A group of one block goes to (0, 0); with k blocks a row goes to k pairs."""
-    cut = rows.withColumn("_k", blocks.cast("int")).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
-    with_each = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other")
-    cut = cut.select("*", with_each)
-    cut = cut.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_k", "_block", "_other")
-    return cut.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j", "doc_id")
 
+def linked_within(rows: DataFrame, compare: Callable[[list], np.ndarray]) -> DataFrame:
+    """(u, v) spanning the links inside every group of ``rows`` (grp, doc_id, payload, blocks).
+
+    ``compare`` labels a list of payloads with the least index linked to each; ``blocks`` is the
+    number of bounded blocks that a group needs, 1 for most."""
+
+    def whole_groups(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in _groups(batches, keys):
+                if len(g) > 1:
+                    yield _star(g["doc_id"].to_numpy(), compare(g["payload"].tolist()))
+
+        return work
+
+    def with_hubs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            group = batch["grp"].to_numpy()
+            cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+            for a, b in zip([0, *cut], [*cut, len(batch)], strict=True):
+                hubs = batch["hubs"].iloc[a]
+                ids, payloads = [h["hub"] for h in hubs], [h["payload"] for h in hubs]
+                for k in range(a, b, CHUNK):
+                    part = batch.iloc[k : min(b, k + CHUNK)]
+                    yield _star(np.array([*ids, *part["doc_id"]], np.int64), compare([*payloads, *part["payload"]]))
+
+    edge = "u long, v long"
+    small = rows.where("blocks = 1").select("grp", "doc_id", "payload").repartition("grp").sortWithinPartitions("grp", "doc_id")
+    edges = small.mapInPandas(whole_groups(["grp"]), edge)
+    large = rows.where("blocks > 1")
+    thin = stored(large.select("grp", "doc_id", "blocks").distinct())
+    if thin.isEmpty():
+        return edges
+
+    # Hubs: the members least by several hashes, so that one odd member doesn't decide.
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(i), "doc_id").alias("h"), "doc_id"))["doc_id"] for i in range(HUBS)]
+    hubs = thin.groupBy("grp").agg(F.array_distinct(F.array(*chosen)).alias("hubs")).select("grp", F.explode("hubs").alias("doc_id"))
+    texts = large.join(hubs, ["grp", "doc_id"], "left_semi").dropDuplicates(["grp", "doc_id"])
+    listed = texts.groupBy("grp", F.pmod("grp", F.lit(1)).alias("_z")).agg(F.collect_list(F.struct(F.col("doc_id").alias("hub"), "payload")).alias("hubs")).drop("_z")
+    stars = stored(large.select("grp", "doc_id", "payload").join(listed, "grp").mapInPandas(with_hubs, edge).distinct())
+
+    # What no chain of links has brought into its group's largest component so far.
+    labels = thin.join(components(stars), F.col("doc_id") == F.col("node"), "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("component"))
+    counts = labels.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("grp", F.pmod("grp", F.lit(1)).alias("_z")).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("m"), F.max("n").alias("n")).drop("_z")
+    left = largest.where("m > n").select("grp", "main", F.ceil((F.col("m") - F.col("n")) / BLOCK).cast("int").alias("lefts"))
+    placed = labels.join(left, "grp")
+    spread = lambda n: F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = placed.where("component != main").select("grp", "doc_id", spread(F.col("lefts")).alias("_i"), each("blocks").alias("_j"))
+    every = placed.select("grp", "doc_id", spread(F.col("blocks")).alias("_j"), each("lefts").alias("_i"))
+    pairs = one.unionByName(every).distinct().join(large.select("grp", "doc_id", "payload"), ["grp", "doc_id"])
+    pairs = pairs.select("grp", "_i", "_j", "doc_id", "payload").repartition("grp", "_i", "_j").sortWithinPartitions("grp", "_i", "_j", "doc_id")
+    return edges.unionByName(stars).unionByName(pairs.mapInPandas(whole_groups(["grp", "_i", "_j"]), edge))
+
+
+def similar_signatures(payloads: list[bytes]) -> np.ndarray:
+    """Labels under the pairs of signatures that survive the sequential test."""
+    n = len(payloads)
+    signature = np.frombuffer(b"".join(payloads), np.uint16).reshape(n, HASHES)
+    label = np.arange(n)
+    for a in range(0, n, 64):  # bounds the pairs at hand to 64 x n
+        left, right = np.meshgrid(np.arange(a, min(n, a + 64)), np.arange(n), indexing="ij")
+        new = (left < right) & (label[left] != label[right])
+        left, right = surviving_pairs(signature, left[new], right[new])
+        label = spanning(n, np.concatenate([np.arange(n), left]), np.concatenate([label, right]))
+    return label
 
-def _star(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]})
+
+def similar_texts(payloads: list[str]) -> np.ndarray:
+    """Labels under the exact links of whole texts."""
+    left, right = exact_links([s for _, s, _ in shingle_sets(payloads, SHINGLE_WORDS)])
+    return spanning(len(payloads), left, right)
 
 
 def candidate_edges(representatives: DataFrame) -> DataFrame:
     """(u, v) spanning the pairs that share a bucket and survive the sequential test."""
-    keys = representatives.select("doc_id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key", F.pmod("key", F.lit(1)).alias("_z")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("_z")
-    rows = keys.join(sizes, "key").join(representatives.select("doc_id", "signature"), "doc_id")
-    rows = in_block_pairs(rows, "key", F.ceil(F.col("members") / BLOCK))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["key", "_i", "_j"]):
-            ids, n = g["doc_id"].to_numpy(), len(g)
-            if n < 2:
-                continue
-            signature = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(n, HASHES)
-            label = np.arange(n)
-            for a in range(0, n, 64):  # bounds the pairs at hand to 64 x n
-                left, right = np.meshgrid(np.arange(a, min(n, a + 64)), np.arange(n), indexing="ij")
-                new = (left < right) & (label[left] != label[right])
-                left, right = surviving_pairs(signature, left[new], right[new])
-                label = spanning(n, np.concatenate([np.arange(n), left]), np.concatenate([label, right]))
-            yield _star(ids, label)
-
-    return rows.select("key", "_i", "_j", "doc_id", "signature").mapInPandas(compare, "u long, v long")
+    keys = representatives.select("doc_id", F.explode("bands").alias("grp"))
+    sizes = keys.groupBy("grp", F.pmod("grp", F.lit(1)).alias("_z")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = sizes.select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    members = stored(keys.join(sizes, "grp"))
+    return linked_within(members.join(representatives.select("doc_id", F.col("signature").alias("payload")), "doc_id"), similar_signatures)
 
 
 def verified_edges(docs: DataFrame, clusters: DataFrame, sizes: DataFrame) -> DataFrame:
     """(u, v) spanning the true links inside each candidate cluster.
 
     ``clusters``: (node, component); ``sizes``: (doc_id, n_shingles) of representatives."""
-    members = clusters.join(sizes, F.col("node") == F.col("doc_id")).select("doc_id", F.col("component").alias("cluster"), "n_shingles")
-    weight = members.groupBy("cluster", F.pmod("cluster", F.lit(1)).alias("_z")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).drop("_z")
-    blocks = weight.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = members.join(blocks, "cluster").select(F.col("doc_id").alias("_id"), "cluster", "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    rows = in_block_pairs(texts.join(placed, F.col("doc_id") == F.col("_id")), "cluster", F.col("blocks"))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "_i", "_j"]):
-            if len(g) < 2:
-                continue
-            ids = g["doc_id"].to_numpy()
-            sets = [s for _, s, _ in shingle_sets(g["text"].tolist(), SHINGLE_WORDS)]
-            left, right = exact_links(sets)
-            yield _star(ids, spanning(len(ids), left, right))
-
-    return rows.select("cluster", "_i", "_j", "doc_id", "text").mapInPandas(verify, "u long, v long")
+    members = clusters.join(sizes, F.col("node") == F.col("doc_id")).select("doc_id", F.col("component").alias("grp"), "n_shingles")
+    weight = members.groupBy("grp", F.pmod("grp", F.lit(1)).alias("_z")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = weight.select("grp", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "grp").select(F.col("doc_id").alias("_id"), "grp", "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("payload")).where("doc_id is not null and text is not null")
+    # The texts of clusters leave the documents once.
+    rows = stored(texts.join(placed, F.col("doc_id") == F.col("_id")).select("grp", "doc_id", "payload", "blocks"))
+    return linked_within(rows, similar_texts)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,10 +294,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     link with nothing. component_id is the least doc_id reachable, and kept marks that document.
     A doc_id that repeats has the links of all its rows, and all are kept or none; a row without
     doc_id links with nothing, has a null component and is kept."""
-    signed = checkpointed(signatures(docs))
+    signed = stored(signatures(docs))
     thin = signed.select("doc_id", "n_shingles", "d1", "d2")
     classes = thin.where("n_shingles > 0").groupBy("d1", "d2", F.pmod("d1", F.lit(1)).alias("_z")).agg(F.min("doc_id").alias("rep")).drop("_z")
-    members = checkpointed(thin.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", "d1", "d2", F.coalesce("rep", "doc_id").alias("rep")))
+    members = stored(thin.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", "d1", "d2", F.coalesce("rep", "doc_id").alias("rep")))
     firsts = members.where("n_shingles > 0 and doc_id = rep").select("doc_id", "d1", "d2").distinct()
     representatives = signed.join(firsts, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     clusters = components(candidate_edges(representatives))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage: writes ``df`` as a table of its own in the shared folder and reads it.
+
+    Unlike a checkpoint, a table has statistics of its own. After several rounds of joins, the
+    estimates that a checkpoint inherits grow beyond all measure and hold up planning. Tables live
+    as long as the shared folder, as results may still read them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/veduta-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
