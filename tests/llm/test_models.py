@@ -114,3 +114,14 @@ def test_pages_of_the_tables(spark, sf_dir):
         body = re.sub(r"<[a-z/][^>]*$", "", raw[r["page_id"]].split("<article>")[1].split("</article>")[0])
         parts = (" ".join(h.unescape(re.sub("<[^>]+>", "", p)).split()) for p in re.split("<p>|</p>|</h1>", body))
         assert r["text"] == "\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("layout", ['class="content no-sidebar"', 'class="layout has-sidebar"', 'class="social-science"', 'id="main-search-page"', 'class="sidebar"', 'role="banner"'])
+def test_layouts_keep_their_article(layout):
+    assert main_text(f"<body><div {layout}><article><p>whole article</p></article></div></body>") == "whole article"
+    assert main_text(f"<body><main><div {layout}><p>whole article</p></div><p>end</p></main></body>") == "whole article\nend"
+
+
+@pytest.mark.parametrize("mark", ['class="x ad-slot-1"', 'class="related"', "id=comments", 'class="cookie_banner"', 'role="complementary"'])
+def test_marked_parts_stay_out(mark):
+    assert main_text(f"<main><article><p>whole article</p><div {mark}>other</div></article><div {mark}><article>card</article></div></main>") == "whole article"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,30 +30,57 @@ _SKIPPED = frozenset("aside audio button canvas datalist dialog embed footer for
 _MARKS = frozenset(
     "ad ads advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: Words that may go with marks in a class, id or role: ``ad-slot`` is a mark, ``no-sidebar`` and ``social-science`` are not.
+_BESIDE = frozenset("area bar block bottom box btn button buttons center container form global group icon icons inner item items left link links list mobile outer panel placement primary right row secondary section site slot small space sticky top unit wrap wrapper".split())
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
-    if name in _SKIPPED:
-        return True
+def _marked(name: str, attributes: str) -> bool:
+    """Whether a whole class, id or role says that an element is not part of the article."""
     if name in ("html", "body", "article", "main") or not attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        for word in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()):
-            if word in _MARKS:
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = set(re.findall(r"[^\W\d_]+", token))
+            if parts & _MARKS and parts <= _MARKS | _BESIDE:
                 return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    return False
+
+
+def _boilerplate(name: str, attributes: str) -> bool:
+    if name in _SKIPPED:
+        return True
+    return name not in ("html", "body", "article", "main") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
 
 
 def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, link only, inside article or main) of every line of a page's visible text.
 
     A line ends where a block element begins or ends. Boilerplate elements are left out; the edge of
-    a structural element leaves an empty line. An unfinished tag or comment ends the page."""
+    a structural element leaves an empty line. An unfinished tag or comment ends the page.
+    A class, id or role leaves out no element that holds a ``main``, the longest ``article`` or
+    more than half of the page's text."""
+    lines, spans, total = _walked(html, None)
+    marked = [x for x in spans if x[0] == "marked"]
+    mains = sorted(start for kind, start, _, size in spans if kind == "main" and size)
+    longest = max((x for x in spans if x[0] == "article" and x[3]), key=lambda x: x[3], default=None)
+    left_out = set()
+    for _, start, end, size in marked:
+        main = bisect(mains, start) < bisect(mains, end)
+        if not main and not (longest and start < longest[1] < end) and 2 * size <= total:
+            left_out.add(start)
+    return _walked(html, left_out)[0] if left_out else lines
+
+
+def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int, int, int]], int]:
+    """Lines, leaving out the marked elements that start at ``marked_out``; then, if that is None,
+    (marked, article or main; start; end; characters) of elements; and the characters of the page."""
     lines: list[tuple[str, bool, bool]] = []
+    spans: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, bool]] = []  # element, whether it is left out
+    opened: list[tuple[int, str, int, int]] = []  # depth in the stack, kind, start, characters before
     text: list[str] = []
     linked = plain = False
-    skipped = inside = links = at = 0
+    skipped = inside = links = at = seen = 0
 
     def flush(blank: bool) -> None:
         nonlocal linked, plain
@@ -65,10 +93,11 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
         linked = plain = False
 
     def add(piece: str) -> None:
-        nonlocal linked, plain
+        nonlocal linked, plain, seen
         if piece and not skipped:
             text.append(piece)
-            if piece.strip():
+            if solid := piece.strip():
+                seen += len(solid)
                 if links:
                     linked = True
                 else:
@@ -78,6 +107,9 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
         nonlocal skipped, inside, links
         while len(stack) > to:
             name, left_out = stack.pop()
+            while opened and opened[-1][0] == len(stack):
+                _, kind, start, before = opened.pop()
+                spans.append((kind, start, at, seen - before))
             if left_out:
                 skipped -= 1
             elif not skipped:
@@ -127,15 +159,22 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
         if name in _VOID:
             continue
         left_out = _boilerplate(name, m[3])
+        if marked_out is not None:
+            left_out = left_out or cut in marked_out
+        elif name in _CONTAINER:
+            opened.append((len(stack), name, cut, seen))
+        elif not left_out and _marked(name, m[3]):
+            opened.append((len(stack), "marked", cut, seen))
         if left_out and not skipped:
             flush(False)
         skipped += left_out
         inside += name in _CONTAINER
         links += name == "a"
         stack.append((name, left_out))
+    at = size
     pop(0)
     flush(False)
-    return lines
+    return lines, spans, seen
 
 
 def main_text(html: str | None) -> str:
