@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +128,11 @@ def test_layouts_keep_their_article(layout):
 @pytest.mark.parametrize("mark", ['class="x ad-slot-1"', 'class="related"', "id=comments", 'class="cookie_banner"', 'role="complementary"'])
 def test_marked_parts_stay_out(mark):
     assert main_text(f"<main><article><p>whole article</p><div {mark}>other</div></article><div {mark}><article>card</article></div></main>") == "whole article"
+
+
+@pytest.mark.parametrize("tag", ['<p class=x">', '<p class="x"">', "<p><a title=it's>", '<p class="x>', '<p title="a > b < c">', "<p data-x='<b>no</b>'>", "<p class='x\">", "<p id = x'y z=\"ad\" / >"])
+@pytest.mark.parametrize("rest", ["", '<p>it\'s "a" b</p>', '<p class="y">it\'s</p>', "<p class='y'>\"it\"</p>"])
+def test_stray_quotes_end_with_their_tag(tag, rest):
+    tail = unescape(re.sub("<[^>]*>", "", rest))
+    assert main_text(f"<article><p>one</p>{tag}two</p>{rest}<p>three</p></article>") == "\n".join(["one", "two", *([tail] if tail else []), "three"])
+    assert main_text(f"<article><p>one</p>{tag}two</p>{rest}<p>cut <b title=\"x") == "\n".join(["one", "two", *([tail] if tail else []), "cut"])

@@ -18,9 +18,14 @@ WINDOW, SURGE = 3, 80
 #: Link-only lines in a row that make a menu.
 MENU = 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: A value in quotes. One that spans a '>' counts only if its closing quote ends it as a value's should, and
+#: does not open the value of a later tag; otherwise the quote is a stray one and the tag ends at the next '>'.
+_QUOTED = "|".join(rf"{q}[^{q}>]*{q}|{q}[^{q}]*+(?<!=){q}(?=[\s/>]|\Z)" for q in "\"'")
+#: An attribute as browsers read it: quotes pair only at the start of a value.
+_PAIR = rf"(=?[^\s/>=]+)(?:\s*=\s*({_QUOTED}|[^\s\"'>][^\s>]*)?)?"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|(?>{_PAIR})|=)*+)>", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(_PAIR, re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _STRUCTURE = frozenset("article aside body div dl footer form header main nav ol section table ul".split())
@@ -39,7 +44,7 @@ def _marked(name: str, attributes: str) -> bool:
     if name in ("html", "body", "article", "main") or not attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        for token in (m[2] or m[3] or m[4] or "").lower().split():
+        for token in (m[2] or "").strip("\"'").lower().split() if m[1].lower() in ("class", "id", "role") else ():
             parts = set(re.findall(r"[^\W\d_]+", token))
             if parts & _MARKS and parts <= _MARKS | _BESIDE:
                 return True
