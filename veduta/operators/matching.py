@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veduta.functions.text import search_key_unicode
 from veduta.operators.rules import cascade
 
 
@@ -37,6 +38,17 @@ def _letter_counts(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.length(c) - F.length(F.replace(c, F.char(i), F.lit(""))))
 
 
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Similarity 2M / (|a| + |b|) of two texts, M being the characters in matching blocks; 0 for a null."""
+
+    @F.pandas_udf("double")
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([SequenceMatcher(None, p, q).ratio() if isinstance(p, str) and isinstance(q, str) else 0.0 for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return ratio(a, b)
+
+
 def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, least: float, top: int) -> DataFrame:
     """(left_id, right_id, score, rank): for every left key its ``top`` right keys of similarity
     2M / (|a| + |b|) at ``least`` or more (M: characters in matching blocks).
@@ -54,12 +66,7 @@ def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, rig
     other = F.least(F.length(F.regexp_replace("_a", "[a-z]", "")), F.length(F.regexp_replace("_b", "[a-z]", "")))
     pairs = pairs.where(2.0 * (common + other) >= least * (F.length("_a") + F.length("_b")))
 
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
-
-    scored = pairs.withColumn("score", ratio("_a", "_b")).where(F.col("score") >= least)
+    scored = pairs.withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= least)
     order = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(left_id, right_id, "score", "rank")
 
@@ -67,3 +74,22 @@ def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, rig
 def tier_score(value: Column, needle: Column) -> Column:
     """1.0 equal, 0.9 prefix, 0.8 contained, else 0; an empty needle scores 0."""
     return cascade([(needle == "", 0.0), (value == needle, 1.0), (value.startswith(needle), 0.9), (value.contains(needle), 0.8)], 0.0)
+
+
+def search_parts(values: Sequence[Column], needle: Column) -> Column:
+    """Struct (tier, ratio) of some columns of a row for a needle: the best tier of any of them, and
+    the best sequence ratio. Keys are compared; null and empty values score 0."""
+    key = search_key_unicode(needle)
+    keys = [search_key_unicode(v) for v in values]
+    tier = F.greatest(F.lit(0.0), *[tier_score(k, key) for k in keys], F.lit(0.0))
+    # An empty needle or value scores 0 without being compared.
+    ratios = [sequence_ratio(F.when(key != "", key), F.when(k != "", k)) for k in keys]
+    return F.struct(tier.alias("tier"), F.greatest(F.lit(0.0), *ratios, F.lit(0.0)).alias("ratio"))
+
+
+def search_score(*parts: Column) -> Column:
+    """The best tier of all searched columns, or where none of them has a tier the best ratio.
+
+    ``parts`` are results of ``search_parts``, so entities can be scored once before they are joined."""
+    tier = F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(p["tier"], F.lit(0.0)) for p in parts])
+    return F.when(tier > 0, tier).otherwise(F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(p["ratio"], F.lit(0.0)) for p in parts]))

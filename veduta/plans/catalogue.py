@@ -12,13 +12,15 @@ from veduta import binding
 from veduta.functions.dates import year_month
 from veduta.functions.text import ics_escape, search_key_ascii
 from veduta.operators.dedup import pick_best
-from veduta.operators.matching import similar_names, tier_score
+from veduta.operators.matching import search_parts, search_score, similar_names, tier_score
 from veduta.operators.rules import cascade
 from veduta.plans.registry import query
 
 FIRST, LAST = date(1996, 9, 1), date(1997, 8, 31)
 CITIES = ("nation_1", "nation_7", "nation_12")
 ARTIST = "Supplier#000000007"
+#: A misspelled title.
+KEYWORD = "blu gadgte"
 
 
 def in_season(events: DataFrame) -> DataFrame:
@@ -181,6 +183,25 @@ def mark_join_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where((F.col("score") >= 0.6) | F.col("via_artist")).select("work_id", "title", "score", "via_artist")
 
 
+@query("keyword_search_fuzzy")
+def keyword_search_fuzzy(spark: SparkSession, sf_dir: str, needle: str = KEYWORD, least: float = 0.6) -> DataFrame:
+    """Events that score ``least`` or more for a needle in title, composer, organization, venue or
+    artist name of any of their slots, or in which ARTIST performs (mark join).
+
+    The tables have one title, that of the work, which stands for the event's title as well. Each
+    work, venue and artist is compared once."""
+    word = F.lit(needle)
+    works = binding.works(spark, sf_dir).select("work_id", search_parts([F.col("title"), F.col("composer")], word).alias("_work"))
+    venues = binding.venues(spark, sf_dir).select("venue_id", search_parts([F.col("organization"), F.col("venue")], word).alias("_venue"))
+    artists = binding.artists(spark, sf_dir).select("artist_id", search_parts([F.col("artist_name")], word).alias("_artist"), (F.col("artist_name") == ARTIST).alias("_hit"))
+    slots = binding.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("artist_id"))
+    rows = binding.occurrences(spark, sf_dir).select("event_id", "venue_id").join(slots, "event_id", "left")
+    rows = rows.join(venues, "venue_id", "left").join(works, "work_id", "left").join(artists, "artist_id", "left")
+    score = search_score(F.col("_work"), F.col("_venue"), F.col("_artist"))
+    found = rows.groupBy("event_id").agg(F.max(score).alias("score"), F.max(F.coalesce("_hit", F.lit(False))).alias("via_artist"))
+    return found.where((F.col("score") >= least) | F.col("via_artist"))
+
+
 @query("artist_options_fuzzy")
 def artist_options_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works with the five titles of other names most like theirs (similarity 0.60 or more)."""
