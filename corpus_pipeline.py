@@ -40,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents so that sources reach their target weights."""
-    return mixed_documents(docs, table(spark, sf_dir, "labels"))
+    """Repeats and samples whole documents so that sources come nearest to their target weights."""
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), whole=True)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -130,3 +131,20 @@ def test_mixed_rows_hold_the_words_taken(spark):
         got[r["doc_id"]] += len(r["text"].split())
         assert r["n_chars"] == len(r["text"])
     assert got == want
+
+
+def test_whole_mix_keeps_texts(spark):
+    r = random.Random(8)
+    texts = {i: "\n ".join(["w%d" % i] * r.randint(1, 90)) for i in range(60)}
+    docs = spark.createDataFrame([row(i, t, "en", "s%d" % (i % 4)) for i, t in texts.items()], edge_docs(spark).schema)
+    sizes, target = {i: len(t.split()) for i, t in texts.items()}, {}
+    cut = {}
+    for x in mix_documents(docs).collect():
+        target["s%d" % (x["doc_id"] % 4)] = int(x["target"])
+        if 0 < x["fraction_words"] < x["size"]:
+            cut[x["doc_id"] % 4] = x["size"]
+    got = Counter()
+    for x in mixed_documents(docs, whole=True).collect():
+        assert x["text"] == texts[x["doc_id"]] and x["n_chars"] == len(x["text"])
+        got["s%d" % (x["doc_id"] % 4)] += sizes[x["doc_id"]]
+    assert cut and all(abs(got[s] - target[s]) * 2 <= cut.get(int(s[1:]), 0) for s in target)

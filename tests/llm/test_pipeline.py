@@ -36,6 +36,13 @@ def test_stages_one_by_one(spark, sf_dir, tmp_path):
     assert Counter(map(key, again)) == Counter(map(key, final))
 
 
+def test_final_rows_keep_their_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {(r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()}
+    mixed = corpus_pipeline.mixing(spark, docs, sf_dir).collect()
+    assert mixed and {(r["doc_id"], r["text"], r["n_chars"]) for r in mixed} <= texts
+
+
 def test_stages_survive_edge_cases(spark, sf_dir):
     for frame in (edge_docs(spark), no_docs(spark)):
         docs = frame.select("doc_id", "text", "lang", "source", "n_chars")

@@ -100,12 +100,14 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Seq
     return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("fraction_words")).alias("taken"), "epochs", "fraction_words")
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[int] = SOURCE_WEIGHTS, seed: int = 7) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[int] = SOURCE_WEIGHTS, seed: int = 7, whole: bool = False) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``.
 
     A document comes once per epoch of its source, and once more if the source's last, fractional
     epoch takes it. The one document of a source that crosses the budget's end is cut to the words
-    within it (``n_chars``, where there is such a column, follows). Documents that the mix takes
+    within it (``n_chars``, where there is such a column, follows), so that rows hold the words of
+    ``mix_documents``; with ``whole`` it comes with its full text if that ends nearer to the budget
+    than leaving it out, or else not once more, and every row is one of ``docs``. Documents that the mix takes
     nothing of, those without words among them, do not come. Rows that repeat a doc_id must agree
     in text and source; they then are taken alike."""
     taken = mix_documents(docs, labels, weights, seed)
@@ -113,13 +115,18 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, weights: S
     rows = without(docs, "_id", "_size", "_epochs", "_fraction", "_words")
     sized = rows.withColumn("_words", word_count(F.col("text")))
     joined = sized.join(per_id, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).where("_words > 0")
+    if whole:
+        taken_whole = 2 * F.col("_fraction") >= F.col("_words")
+        joined = joined.withColumn("_fraction", F.when(taken_whole, F.col("_words")).otherwise(F.lit(0).cast("long")))
     copies = F.transform(F.sequence(F.lit(1), F.col("_epochs")), lambda _: F.col("_words"))
     copies = F.when(F.col("_epochs") > 0, copies).otherwise(F.array().cast("array<bigint>"))
     copies = F.concat(copies, F.when(F.col("_fraction") > 0, F.array("_fraction")).otherwise(F.array().cast("array<bigint>")))
     each = joined.withColumn("_take", F.explode(copies))
+    if whole:
+        return each.select(*[F.col(f"`{c}`") for c in docs.columns])
     head = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_take").cast("int")), " ")
     cut = each.withColumn("text", F.when(F.col("_take") < F.col("_words"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        whole = F.col("_take") == F.col("_words")
-        cut = cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")).cast(docs.schema["n_chars"].dataType))
+        uncut = F.col("_take") == F.col("_words")
+        cut = cut.withColumn("n_chars", F.when(uncut, F.col("n_chars")).otherwise(F.length("text").cast("long")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
