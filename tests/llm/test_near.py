@@ -148,6 +148,22 @@ def test_leaks_by_brute_force(spark):
     assert contaminated(no_docs(spark), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_by_brute_force():
+    r = random.Random(6)
+    vocabulary = words(30, 1)
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in range(1, 14) for _ in range(6)]
+    index = decontamination.ItemIndex(list(range(len(items))), [next(decontamination.word_hashes([" ".join(w)]))[2] for w in items]).build(0.99)
+    docs = [[], ["end"]]
+    for k in range(400):
+        item, doc = items[k % len(items)], words(r.randrange(12), 90 + k) + [r.choice(vocabulary) for _ in range(r.randrange(5))]
+        copy = edited(item, r.randrange(len(item) // 4 + 1), r) if len(item) > 3 else item
+        at = r.choice([0, len(doc), r.randrange(len(doc) + 1)])
+        docs.append(doc[:at] + copy + doc[at:])
+    want = {(d, i): e for d, doc in enumerate(docs) for i, w in enumerate(items) if len(w) < decontamination.SHORT and (e := least_distance(w, doc)) <= len(w) // 4}
+    got = {(d, i): e for d, i, e, _ in index.matches([" ".join(d) for d in docs]) if len(items[i]) < decontamination.SHORT}
+    assert got == want and len({i for (_, i), e in want.items() if e}) > 40
+
+
 def test_walks_of_equal_windows_agree():
     w = np.random.default_rng(1).integers(1, 1 << 60, (4, 30), dtype=np.uint64)
     one, two = (decontamination.embedding_keys(w, range(k, k + 3)) for k in (0, 0))

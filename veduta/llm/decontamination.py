@@ -5,7 +5,8 @@ word edit distance of the item (a quarter of the item's words). The CGK random w
 sequence to a longer one whose Hamming distance follows the edit distance; every window of an
 item's length in a document is embedded and looked up in tables keyed by a few sampled positions
 of the embedding. Embeddings are repeated until simulated pairs at the full allowed distance are
-found with the target recall; what is found is verified by exact edit distance.
+found with the target recall; what is found is verified by exact edit distance. Short items are
+found without loss: of an item cut into one piece more than the allowed edits, one piece stays whole.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 from veduta.llm.tables import without
 from veduta.llm.wordhash import blocks, mix, words
 
-#: Allowed edits as a share of an item's words; items of fewer than SHORT words must match exactly.
+#: Allowed edits as a share of an item's words, rounded down; items of fewer than SHORT words are found by pieces.
 EDIT_SHARE, SHORT = 0.25, 12
 #: Sampled positions in a table's key, tables per embedding, embeddings at most, target recall.
 SAMPLED, TABLES, MOST_EMBEDDINGS, RECALL = 3, 8, 48, 0.99
 #: Items searched for in one pass over the documents; bounds what is collected and broadcast.
 ITEMS_AT_ONCE = 20_000
 _GRAM_BITS = 20
+#: Pairs of a place and a short item compared at once.
+_PAIRS_AT_ONCE = 1 << 15
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 _SEPARATOR = np.zeros(256, bool)
@@ -51,7 +54,7 @@ def word_hashes(texts: Sequence[str | None]) -> Iterator[tuple[int, int, np.ndar
 
 
 def allowed_edits(n: int) -> int:
-    return int(n * EDIT_SHARE) if n >= SHORT else 0
+    return int(n * EDIT_SHARE)
 
 
 def _gram_size(n: int) -> int:
@@ -101,6 +104,31 @@ def edit_distance_in(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def piece_bounds(n: int) -> list[int]:
+    """Ends of an item's pieces, one more than its allowed edits."""
+    many = allowed_edits(n) + 1
+    return [n * k // many for k in range(many + 1)]
+
+
+def _piece_keys(value: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each word on."""
+    key = mix(value[: len(value) - size + 1] + np.uint64(size))
+    for k in range(1, size):
+        key = mix(key * _FOLD + value[k : len(value) - size + 1 + k])
+    return key
+
+
+def within(items: np.ndarray, regions: np.ndarray, edits: int) -> np.ndarray:
+    """Whether each item (a row of words) lies within ``edits`` of a stretch of its region."""
+    at = np.arange(regions.shape[1] + 1)
+    row = np.zeros((len(items), len(at)), np.int64)
+    for i in range(items.shape[1]):
+        new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (regions != items[:, i : i + 1]))
+        new = np.concatenate([np.full((len(items), 1), i + 1), new], axis=1)
+        row = np.minimum.accumulate(new - at, axis=1) + at
+    return row.min(axis=1) <= edits
+
+
 @dataclass
 class ItemIndex:
     """A bounded slice of the benchmark, indexed by word length."""
@@ -112,12 +140,17 @@ class ItemIndex:
     grams: dict[int, np.ndarray] = field(default_factory=dict)
     #: Per length its bit, sorted table keys and their items.
     tables: dict[int, tuple[int, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: Per piece size a bitmap: bit n is set where a short item of n words has the piece.
+    seen: dict[int, np.ndarray] = field(default_factory=dict)
+    #: Per (item length, piece size) the sorted pieces, their items and their places in them.
+    pieces: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def build(self, recall: float) -> ItemIndex:
         by_length: dict[int, list[int]] = {}
         for i, words_ in enumerate(self.items):
             if len(words_):
                 by_length.setdefault(len(words_), []).append(i)
+        self._cut({n: by_length.pop(n) for n in sorted(by_length) if n < SHORT})
         self.embeddings = self._calibrated(by_length, recall)
         for k, (n, own) in enumerate(sorted(by_length.items())):
             seen = self.grams.setdefault(_gram_size(n), np.zeros(1 << _GRAM_BITS, np.uint64))
@@ -129,6 +162,57 @@ class ItemIndex:
             self.tables[n] = k % 64, flat[order], item[order]
         return self
 
+    def _cut(self, short: dict[int, list[int]]) -> None:
+        """Indexes short items by their pieces."""
+        for n, own in short.items():
+            items, bounds = np.stack([self.items[i] for i in own]), piece_bounds(n)
+            sizes: dict[int, list[int]] = {}
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                sizes.setdefault(b - a, []).append(a)
+            for size, places in sizes.items():
+                keys = np.concatenate([_piece_keys(items[:, a : a + size].T, size)[0] for a in places])
+                seen = self.seen.setdefault(size, np.zeros(1 << _GRAM_BITS, np.uint16))
+                seen[keys >> np.uint64(64 - _GRAM_BITS)] |= np.uint16(1 << n)
+                order = np.argsort(keys, kind="stable")
+                self.pieces[n, size] = keys[order], np.tile(np.array(own), len(places))[order], np.repeat(np.array(places), len(own))[order]
+
+    def short_places(self, value: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, short item, place) near which the row holds the item within the allowed distance."""
+        for size, seen in self.seen.items():
+            if len(value) < size:
+                continue
+            every = _piece_keys(value, size)
+            mask = seen[every >> np.uint64(64 - _GRAM_BITS)]
+            some = np.flatnonzero(mask)
+            some = some[some + size <= row[np.searchsorted(row, some, "right")]]
+            for n in range(SHORT):
+                if (n, size) not in self.pieces:
+                    continue
+                keys, item, place = self.pieces[n, size]
+                at = some[(mask[some] >> np.uint16(n)) & np.uint16(1) == 1]
+                low = np.searchsorted(keys, every[at], "left")
+                many = np.searchsorted(keys, every[at], "right") - low
+                at, low, many = at[many > 0], low[many > 0], many[many > 0]
+                ends = np.cumsum(many)
+                first = 0
+                while first < len(at):
+                    before = ends[first] - many[first]
+                    last = max(first + 1, int(np.searchsorted(ends, before + _PAIRS_AT_ONCE, "right")))
+                    count = many[first:last]
+                    hit = np.repeat(low[first:last] - (ends[first:last] - count - before), count) + np.arange(count.sum())
+                    yield from self._near(n, item[hit], np.repeat(at[first:last], count), place[hit], value, row)
+                    first = last
+
+    def _near(self, n: int, item: np.ndarray, at: np.ndarray, place: np.ndarray, value: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        d = allowed_edits(n)
+        r = np.searchsorted(row, at, "right") - 1
+        start = at - place
+        take = (start - d)[:, None] + np.arange(n + 2 * d)[None, :]
+        inside = (take >= row[r][:, None]) & (take < row[r + 1][:, None])
+        regions = np.where(inside, value[np.clip(take, 0, len(value) - 1)], np.uint64(0))
+        close = within(np.stack([self.items[i] for i in item.tolist()]), regions, d)
+        yield from zip(r[close].tolist(), item[close].tolist(), start[close].tolist(), strict=True)
+
     def _calibrated(self, by_length: dict[int, list[int]], recall: float) -> int:
         """Embeddings that find the target share of simulated pairs at the full allowed distance."""
         random = np.random.default_rng(5)
@@ -209,6 +293,7 @@ class ItemIndex:
         """(row, item, distance, end word) for every text and item within the allowed distance."""
         parts: list[tuple[int, np.ndarray, np.ndarray]] = []
         found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        candidates: dict[tuple[int, int, int], list[int]] = {}
         for first, _, value, row in word_hashes(texts):
             any_here = False
             for n, start in self.windows(value, row):
@@ -217,9 +302,11 @@ class ItemIndex:
                     inside = take < row[np.searchsorted(row, start, "right")][:, None]
                     found.setdefault(n, []).append((len(parts), start, np.where(inside, value[np.minimum(take, len(value) - 1)], np.uint64(0))))
                     any_here = True
+            for r, i, start in self.short_places(value, row):
+                candidates.setdefault((len(parts), r, i), []).append(start)
+                any_here = True
             if any_here:
                 parts.append((first, value, row))
-        candidates: dict[tuple[int, int, int], list[int]] = {}
         for n, pieces in found.items():
             windows = np.concatenate([w for *_, w in pieces])
             part = np.repeat([p for p, *_ in pieces], [len(s) for _, s, _ in pieces])
