@@ -164,6 +164,24 @@ def test_short_items_by_brute_force():
     assert got == want and len({i for (_, i), e in want.items() if e}) > 40
 
 
+def test_every_length_reaches_the_recall(caplog, monkeypatch):
+    r = np.random.default_rng(2)
+    items = [r.integers(1, 1 << 62, n).astype(np.uint64) for n in (16, 30, 60, 250)]
+    index = decontamination.ItemIndex(list(range(4)), items).build(0.99)
+    assert not caplog.records
+    for n, item in zip((16, 250), (items[0], items[-1]), strict=True):
+        found = 0
+        for _ in range(60):
+            w = list(item)
+            for at in r.choice(n, n // 4, replace=False):
+                w[at] = np.uint64(r.integers(1, 1 << 62))
+            found += len(index.looked_up(n, np.array([w], np.uint64))[0]) > 0
+        assert found >= 57
+    monkeypatch.setattr(decontamination, "MOST_EMBEDDINGS", 2)
+    decontamination.ItemIndex(list(range(4)), items).build(0.99)
+    assert "250 words" in caplog.text
+
+
 def test_walks_of_equal_windows_agree():
     w = np.random.default_rng(1).integers(1, 1 << 60, (4, 30), dtype=np.uint64)
     one, two = (decontamination.embedding_keys(w, range(k, k + 3)) for k in (0, 0))

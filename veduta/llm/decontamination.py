@@ -11,9 +11,12 @@ found without loss: of an item cut into one piece more than the allowed edits, o
 
 from __future__ import annotations
 
+import logging
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,9 +29,12 @@ from veduta.llm.wordhash import blocks, mix, words
 #: Allowed edits as a share of an item's words, rounded down; items of fewer than SHORT words are found by pieces.
 EDIT_SHARE, SHORT = 0.25, 12
 #: Sampled positions in a table's key, tables per embedding, embeddings at most, target recall.
-SAMPLED, TABLES, MOST_EMBEDDINGS, RECALL = 3, 8, 48, 0.99
+SAMPLED, TABLES, MOST_EMBEDDINGS, RECALL = 3, 8, 256, 0.99
+#: Lengths at which embeddings are counted, simulated pairs of each, and words of items with one count.
+CALIBRATED, SIMULATED, TYPICAL = 12, 200, 64
 #: Items searched for in one pass over the documents; bounds what is collected and broadcast.
 ITEMS_AT_ONCE = 20_000
+_LOG = logging.getLogger(__name__)
 _GRAM_BITS = 20
 #: Pairs of a place and a short item compared at once.
 _PAIRS_AT_ONCE = 1 << 15
@@ -135,7 +141,8 @@ class ItemIndex:
 
     ids: list[int]
     items: list[np.ndarray]
-    embeddings: int = 0
+    #: Embeddings per length.
+    embeddings: dict[int, int] = field(default_factory=dict)
     #: Per gram size a bitmap: bit k is set where an item of the k-th length (mod 64) has the gram.
     grams: dict[int, np.ndarray] = field(default_factory=dict)
     #: Per length its bit, sorted table keys and their items.
@@ -156,7 +163,7 @@ class ItemIndex:
             seen = self.grams.setdefault(_gram_size(n), np.zeros(1 << _GRAM_BITS, np.uint64))
             for i in own:
                 seen[_grams(self.items[i], _gram_size(n))] |= np.uint64(1 << k % 64)
-            keys = embedding_keys(np.stack([self.items[i] for i in own]), range(self.embeddings))
+            keys = embedding_keys(np.stack([self.items[i] for i in own]), range(self.embeddings[n]))
             flat, item = keys.ravel(), np.repeat(np.array(own), keys.shape[1])
             order = np.argsort(flat, kind="stable")
             self.tables[n] = k % 64, flat[order], item[order]
@@ -213,36 +220,47 @@ class ItemIndex:
         close = within(np.stack([self.items[i] for i in item.tolist()]), regions, d)
         yield from zip(r[close].tolist(), item[close].tolist(), start[close].tolist(), strict=True)
 
-    def _calibrated(self, by_length: dict[int, list[int]], recall: float) -> int:
-        """Embeddings that find the target share of simulated pairs at the full allowed distance."""
+    def _calibrated(self, by_length: dict[int, list[int]], recall: float) -> dict[int, int]:
+        """Per length the embeddings that find the target share of simulated pairs at the full
+        allowed distance: measured at some lengths, none with fewer than a shorter one needs. The worst
+        length of up to TYPICAL words decides for all of them, as the measure of a single one is rough."""
         random = np.random.default_rng(5)
         lengths = sorted(by_length)
-        pairs = []
-        for n in (lengths[i] for i in np.unique(np.linspace(0, len(lengths) - 1, 10).astype(int))) if lengths else ():
-            edited = []
-            chosen = random.choice(by_length[n], 24)
-            for i in chosen:
-                w = list(self.items[i])
-                for _ in range(allowed_edits(n)):
-                    kind, at = random.integers(3), random.integers(len(w))
-                    fresh = np.uint64(random.integers(1, 1 << 62))
-                    if kind == 0:
-                        w[at] = fresh
-                    elif kind == 1:
-                        w.insert(at, fresh)
-                    elif len(w) > 1:
-                        del w[at]
-                edited.append((w + [np.uint64(random.integers(1, 1 << 62)) for _ in range(n)])[:n])
-            pairs.append((np.stack([self.items[i] for i in chosen]), np.array(edited, np.uint64)))
-        if not pairs:
-            return 1
-        found = [np.zeros(len(a), bool) for a, _ in pairs]
-        for e in range(MOST_EMBEDDINGS):
-            for f, (a, b) in zip(found, pairs, strict=True):
-                f |= (embedding_keys(a, range(e, e + 1)) == embedding_keys(b, range(e, e + 1))).any(axis=1)
-            if np.concatenate(found).mean() >= recall:
-                return e + 1
-        return MOST_EMBEDDINGS
+        measured = {}
+        for n in (lengths[i] for i in np.unique(np.linspace(0, len(lengths) - 1, CALIBRATED).astype(int))) if lengths else ():
+            measured[n], share = self._embeddings_for(n, by_length[n], recall, random)
+            if share < recall:
+                _LOG.warning("%d embeddings find %.3f of simulated pairs of %d words, less than %.3f", measured[n], share, n, recall)
+        at, most = list(measured), list(accumulate(measured.values(), max))
+        typical = max([e for n, e in measured.items() if n <= TYPICAL], default=0)
+        return {n: max(typical, most[bisect_left(at, n)]) for n in lengths}
+
+    def _embeddings_for(self, n: int, own: list[int], recall: float, random: np.random.Generator) -> tuple[int, float]:
+        """Embeddings, MOST_EMBEDDINGS at most, and the share of simulated pairs that they find."""
+        edited = []
+        chosen = random.choice(own, SIMULATED)
+        for i in chosen:
+            w = list(self.items[i])
+            for _ in range(allowed_edits(n)):
+                kind, at = random.integers(3), random.integers(len(w))
+                fresh = np.uint64(random.integers(1, 1 << 62))
+                if kind == 0:
+                    w[at] = fresh
+                elif kind == 1:
+                    w.insert(at, fresh)
+                elif len(w) > 1:
+                    del w[at]
+            edited.append((w + [np.uint64(random.integers(1, 1 << 62)) for _ in range(n)])[:n])
+        a, b = np.stack([self.items[i] for i in chosen]), np.array(edited, np.uint64)
+        found = np.zeros(len(a), bool)
+        for first in range(0, MOST_EMBEDDINGS, 8):
+            some = range(first, min(first + 8, MOST_EMBEDDINGS))
+            same = (embedding_keys(a, some) == embedding_keys(b, some)).reshape(len(a), len(some), TABLES).any(axis=2)
+            for e, hit in zip(some, same.T, strict=True):
+                found |= hit
+                if found.mean() >= recall:
+                    return e + 1, float(found.mean())
+        return MOST_EMBEDDINGS, float(found.mean())
 
     def windows(self, value: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(length, starts) of the windows that may lie within the allowed distance of an item.
@@ -281,7 +299,7 @@ class ItemIndex:
     def looked_up(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that share a table key."""
         _, keys, item = self.tables[n]
-        own = embedding_keys(windows, range(self.embeddings))
+        own = embedding_keys(windows, range(self.embeddings[n]))
         low, high = np.searchsorted(keys, own.ravel(), "left"), np.searchsorted(keys, own.ravel(), "right")
         many = high - low
         spread = np.repeat(np.arange(len(many)), many)
