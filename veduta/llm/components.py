@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veduta.llm.tables import stored
+from veduta.llm.tables import discard, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -40,8 +40,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark or now[0] == 0:
             break
-        mark = now
-        stars = stored(_small_star(_large_star(stars)))
+        mark, before = now, stars
+        stars = stored(_small_star(_large_star(before)))
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

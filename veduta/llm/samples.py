@@ -19,12 +19,12 @@ def held_out(key: Column) -> Column:
 def bounded_sample(df: DataFrame, by: str, per_class: int, key: str = "doc_id", seed: int = 11) -> DataFrame:
     """At most ``per_class`` rows of every non-null value of ``by``, the ones least by a hash of ``key``.
 
-    Classes are first thinned to about twice that number by a threshold on the hash, from one
-    count per class, so that no task ever sorts a whole class. The number of classes must be
-    small (labels, languages)."""
+    Classes of more than twice that number are first thinned to about as much by a threshold on
+    the hash, from one count per class, so that no task ever sorts a whole class. Only the counts
+    of such classes are broadcast: at most one row for every ``2 * per_class`` rows of ``df``."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = df.where(F.col(by).isNotNull() & F.col(key).isNotNull()).withColumn("_u", u)
-    counts = rows.groupBy(F.col(by).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    thin = rows.join(F.broadcast(counts), F.col(by) == F.col("_class")).where(F.col("_u") * F.col("_n") <= 2.0 * per_class + 50)
+    large = rows.groupBy(F.col(by).alias("_class")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * per_class)
+    thin = rows.join(F.broadcast(large), F.col(by) == F.col("_class"), "left").where(F.col("_u") * F.coalesce("_n", F.lit(0)) <= 2.0 * per_class + 50)
     first = Window.partitionBy(by).orderBy("_u", key)
     return thin.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= per_class).drop("_u", "_n", "_no", "_class")

@@ -16,26 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests, local mode) a temporary one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veduta-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset a temporary one is made in local mode (tests), which is one machine; on a
+    cluster that is an error, as executors would not see a folder of the driver."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="veduta-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes ``df`` as a table of its own in the shared folder and reads it.
 
     Unlike a checkpoint, a table has statistics of its own. After several rounds of joins, the
-    estimates that a checkpoint inherits grow beyond all measure and hold up planning. Tables live
-    as long as the shared folder, as results may still read them."""
+    estimates that a checkpoint inherits grow beyond all measure and hold up planning. A table that
+    nothing reads any more goes by ``discard``; what a returned DataFrame reads stays as long as
+    the shared folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veduta-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that no DataFrame still to be run reads."""
+    for df in frames:
+        if path := df.__dict__.pop("_stored_at", None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ascii_lower(text: Column) -> Column:
