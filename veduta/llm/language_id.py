@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from veduta.llm.samples import bounded_sample, held_out
 from veduta.llm.tables import without
 
-#: Documents per language that the model is fitted on, and languages at most.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 400, 200
+#: Documents per language that the model is fitted on at most, and of all languages together;
+#: many languages share the latter evenly.
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 80_000
 BINS = 1 << 14
 UNDETERMINED = "und"
 _ORDERS = (1, 2, 3)
@@ -94,7 +95,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha=0.5, beta=1.0, l1=0.02, l2=0.01, epochs=4, seed=3) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal with elastic-net penalties: weights of a bin stay 0 until its accumulated
     gradient outgrows ``l1``. Rows are (bins, values, class); the last bin is the unpenalised bias."""
-    z, n = np.zeros((BINS + 1, classes)), np.zeros((BINS + 1, classes))
+    z, n = np.zeros((BINS + 1, classes), np.float32), np.zeros((BINS + 1, classes), np.float32)
     order = np.random.default_rng(seed)
     penalty = np.full((BINS + 1, 1), l1)
     penalty[BINS] = 0
@@ -125,21 +126,37 @@ def calibrated_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()))
 
 
-def fit_language_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fits on at most ``per_language`` documents of each language outside the held-out fold.
+def counted_grams(rows: DataFrame) -> DataFrame:
+    """lang, doc_id, bins, counts: the non-zero gram counts of texts with letters, as bytes.
+
+    Counted in the tasks that read the texts, so that no text reaches the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for lang, key, text in zip(batch["lang"], batch["doc_id"], batch["text"], strict=True):
+                if (c := gram_counts(text if isinstance(text, str) else None)) is not None:
+                    at = np.flatnonzero(c)
+                    out.append((lang, key, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "doc_id", "bins", "counts"])
+
+    return rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(count, "lang string, doc_id long, bins binary, counts binary")
+
+
+def fit_language_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample: int = SAMPLE) -> LanguageModel:
+    """Fits on at most ``per_language`` documents of each language outside the held-out fold, and
+    ``sample`` of all languages (a language has one at least).
 
     Every fifth of them is left to calibration. Rows without lang, doc_id or letters teach nothing;
-    with no row at all the model knows no language and answers ``und``."""
-    rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    taken = bounded_sample(rows, "lang", per_language).orderBy("lang", "doc_id").collect()
+    with no row at all the model knows no language and answers ``und``. Any number of languages
+    is learned; each takes 4 * BINS bytes of the model and three times that while fitting."""
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    known = rows.where("lang is not null and doc_id is not null").agg(F.count_distinct("lang")).first()[0]
+    most = max(1, min(per_language, sample // max(1, known)))
+    taken = counted_grams(bounded_sample(rows, "lang", most)).orderBy("lang", "doc_id", "bins", "counts").collect()
     languages = sorted({r["lang"] for r in taken})
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; MOST_LANGUAGES is {MOST_LANGUAGES}")
-    counted = []  # (bins, counts there, language): a few thousand bins a document
-    for r in taken:
-        if (c := gram_counts(r["text"])) is not None:
-            at = np.flatnonzero(c).astype(np.int32)
-            counted.append((at, c[at].astype(np.float32), languages.index(r["lang"])))
+    number = {lang: i for i, lang in enumerate(languages)}
+    counted = [(np.frombuffer(r["bins"], "<u2").astype(np.int32), np.frombuffer(r["counts"], "<u4").astype(np.float32), number[r["lang"]]) for r in taken]
     del taken
     if not counted:
         return LanguageModel([], np.ones(BINS), np.zeros((BINS, 0), np.float32), np.zeros(0, np.float32), 1.0)
@@ -171,7 +188,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None = None) -> D
     """The documents with ``lang_pred`` and ``score`` added (existing such columns are replaced).
 
     Whole texts are scored, in the tasks that read them: no shuffle. A null text or one without
-    letters gives ``und`` with score 0. Repeated rows score alike; an empty table gives none."""
+    letters gives ``und`` with score 0. Repeated rows score alike; an empty table gives none. Of
+    texts without ``lang`` the model learns nothing, but they are judged like all others."""
     model = model or fit_language_model(docs)
     rows = without(docs, "lang_pred", "score", "_predicted")
     out = rows.withColumn("_predicted", predicted_language(model, F.col("text"), docs))
