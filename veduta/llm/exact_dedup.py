@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veduta.llm.tables import ascii_lower
 
-#: Runs merged into one at a level, and the number of levels: FAN_IN ** LEVELS runs at most.
-FAN_IN, LEVELS = 16, 3
+#: Sorted runs at the start, and runs merged into one in a round: three binomial steps at once (runs
+#: at distance 1, 2 and 4, then 8, 16 and 32, ...), so that RUNS meet after log(RUNS) / log(FAN_IN) rounds.
+RUNS, FAN_IN = 512, 8
 _KEY = ["text_sha256", "_bytes", "_check"]
 
 
@@ -24,29 +25,33 @@ def digested(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     )
 
 
-def merged_runs(rows: DataFrame, keep=F.min) -> DataFrame:
+def merged_runs(rows: DataFrame, keep=F.max, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per verified digest: key columns, keep_id, group_size.
 
-    Every input partition is a run. At each level FAN_IN runs meet: the rows of a run are first
-    combined inside their task, then exchanged by (digest, group of runs) and merged, keeping per
-    verified digest the identifier that ``keep`` retains and the number of rows. A digest thus
-    reaches a merging task at most FAN_IN times a level, however many rows carry it."""
-    runs = rows.withColumn("_run", F.pmod(F.spark_partition_id(), F.lit(FAN_IN**LEVELS)).cast("int")).withColumn("_n", F.lit(1).cast("long"))
-    for _ in range(LEVELS):
-        runs = (
-            runs.withColumn("_run", F.floor(F.col("_run") / FAN_IN).cast("int"))
-            .groupBy(*_KEY, "_run")
-            .agg(keep("doc_id").alias("doc_id"), F.sum("_n").alias("_n"))
-            .sortWithinPartitions(*_KEY)
-        )
-    return runs.select(*_KEY, F.col("doc_id").alias("keep_id"), F.col("_n").alias("group_size"))
+    Input partitions are dealt to ``runs`` runs. In every round the runs whose numbers agree but for
+    the last digit to base ``fan_in`` are merged: each task sorts its part by (digest, run), keeps
+    one row per digest and sends it to the task that merges these runs' share of the digests; there
+    the sorted parts are merged and reduced again. Identifier and count of a digest form one struct, which
+    Spark reduces over sorted rows (SortAggregate), so every partial result is a sorted run.
+    A digest reaches a merging task as one row for each part, however many rows carry it, and an
+    equal digest counts only with equal length and second hash."""
+    value = F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").alias("id"))
+    if keep is F.min:
+        value = F.struct(F.col("doc_id").isNull().alias("named"), F.col("doc_id").alias("id"))
+    at = rows.select(*_KEY, value.alias("best"), F.lit(1).cast("long").alias("n"), F.pmod(F.spark_partition_id(), F.lit(runs)).cast("int").alias("_run"))
+    left = max(2, runs)
+    while left > 1:
+        left = -(-left // fan_in)
+        merged = at.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
+        at = merged.groupBy(*_KEY, "_run").agg(keep("best").alias("best"), F.sum("n").alias("n"))
+    return at.select(*_KEY, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, keep=F.max) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after folding A-Z; null equals empty. The query keeps the
-    largest doc_id (``keep=F.max``); ``F.min`` keeps the smallest. A null doc_id is kept only if
+    largest doc_id (``keep=F.max``); ``F.min`` keeps the smallest, as the method has it. A null doc_id is kept only if
     its whole group has none; rows tied on the kept doc_id are all marked. An empty table gives an
     empty result; other columns are ignored. Only digests are shuffled, and only digests of two or
     more rows are joined back."""
