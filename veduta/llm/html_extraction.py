@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _STRUCTURE = frozenset("article aside body div dl footer form header main nav ol section table ul".split())
 _CONTAINER = frozenset(("article", "main"))
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SKIPPED = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe input label map menu nav noscript object script select style svg template textarea title video".split())
 #: Words in a class, id or role that mark an element as not part of the article.
 _MARKS = frozenset(
@@ -39,12 +42,18 @@ _MARKS = frozenset(
 _BESIDE = frozenset("area bar block bottom box btn button buttons center container form global group icon icons inner item items left link links list mobile outer panel placement primary right row secondary section site slot small space sticky top unit wrap wrapper".split())
 
 
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    """(lower-case name, value without quotes) of every attribute of a tag."""
+    for m in _ATTRIBUTE.finditer(text):
+        yield m[1].lower(), (m[2] or "").strip("\"'")
+
+
 def _marked(name: str, attributes: str) -> bool:
     """Whether a whole class, id or role says that an element is not part of the article."""
     if name in ("html", "body", "article", "main") or not attributes:
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        for token in (m[2] or "").strip("\"'").lower().split() if m[1].lower() in ("class", "id", "role") else ():
+    for key, value in _attributes(attributes):
+        for token in value.lower().split() if key in ("class", "id", "role") else ():
             parts = set(re.findall(r"[^\W\d_]+", token))
             if parts & _MARKS and parts <= _MARKS | _BESIDE:
                 return True
@@ -54,14 +63,15 @@ def _marked(name: str, attributes: str) -> bool:
 def _boilerplate(name: str, attributes: str) -> bool:
     if name in _SKIPPED:
         return True
-    return name not in ("html", "body", "article", "main") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    return name not in ("html", "body", "article", "main") and "hidden" in attributes.lower() and any(key == "hidden" for key, _ in _attributes(attributes))
 
 
 def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, link only, inside article or main) of every line of a page's visible text.
 
-    A line ends where a block element begins or ends. Boilerplate elements are left out; the edge of
-    a structural element leaves an empty line. An unfinished tag or comment ends the page.
+    A line ends where a block element begins or ends. Boilerplate elements are left out, but not the
+    headings in the header of an article or main, which are its own; the edge of a structural element
+    leaves an empty line. An unfinished tag or comment ends the page.
     A class, id or role leaves out no element that holds a ``main``, the longest ``article`` or
     more than half of the page's text."""
     lines, spans, total = _walked(html, None)
@@ -81,7 +91,10 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
     (marked, article or main; start; end; characters) of elements; and the characters of the page."""
     lines: list[tuple[str, bool, bool]] = []
     spans: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, bool]] = []  # element, whether it is left out
+    stack: list[tuple[str, int]] = []  # element, 1 where it begins to be left out, -1 where a heading returns
+    open_: Counter[str] = Counter()  # elements in the stack by name
+    blocks: list[int] = []  # places of block elements in the stack
+    hiding: list[str] = []  # open elements that begin to be left out
     opened: list[tuple[int, str, int, int]] = []  # depth in the stack, kind, start, characters before
     text: list[str] = []
     linked = plain = False
@@ -111,14 +124,18 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
     def pop(to: int) -> None:
         nonlocal skipped, inside, links
         while len(stack) > to:
-            name, left_out = stack.pop()
+            name, change = stack.pop()
+            open_[name] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             while opened and opened[-1][0] == len(stack):
                 _, kind, start, before = opened.pop()
                 spans.append((kind, start, at, seen - before))
-            if left_out:
-                skipped -= 1
-            elif not skipped:
-                flush(name in _STRUCTURE) if name in _BLOCK else None
+            if change <= 0 and not skipped and name in _BLOCK:
+                flush(name in _STRUCTURE)
+            skipped -= change
+            if change > 0:
+                hiding.pop()
             inside -= name in _CONTAINER
             links -= name == "a"
 
@@ -140,10 +157,11 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
         if not name:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if open_[name]:
+                to = len(stack) - 1
+                while stack[to][0] != name:
+                    to -= 1
+                pop(to)
             continue
         if name in _RAW_END:
             end = _RAW_END[name].search(html, at)
@@ -153,12 +171,9 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
             add(" ")
             continue
         if name in _BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or name == stack[i][0] == "li":
-                    pop(i)
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
+            around = stack[blocks[-1]][0] if blocks else ""
+            if around == "p" or name == around == "li":
+                pop(blocks[-1])
             if not skipped:
                 flush(name in _STRUCTURE)
         if name in _VOID:
@@ -170,35 +185,32 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
             opened.append((len(stack), name, cut, seen))
         elif not left_out and _marked(name, m[3]):
             opened.append((len(stack), "marked", cut, seen))
+        own = name in _HEADING and skipped == 1 and inside and not left_out and hiding == ["header"]
         if left_out and not skipped:
             flush(False)
-        skipped += left_out
+        change = -1 if own else int(left_out)
+        skipped += change
+        if left_out:
+            hiding.append(name)
         inside += name in _CONTAINER
         links += name == "a"
-        stack.append((name, left_out))
+        open_[name] += 1
+        if name in _BLOCK:
+            blocks.append(len(stack))
+        stack.append((name, change))
     at = size
     pop(0)
     flush(False)
     return lines, spans, seen
 
 
-def main_text(html: str | None) -> str:
-    """The article's lines, joined by one newline; empty for a null or empty page.
+def line_weights(lines: list[tuple[str, bool, bool]]) -> list[int]:
+    """A line's part in window sums: its length, but 0 in menus (MENU or more link-only lines in a row).
 
-    Where a page has an ``article`` or ``main`` element with text, only its lines carry weight.
-    A line's weight is its length, and 0 for lines of menus. Sums over sliding windows of WINDOW
-    lines show where text surges (a sum of SURGE, or the page's largest if that is less) and dives
-    (a sum of 0); lines with weight between a surge and its dive are kept.
-    Inside an article no weightless lines arise, so short paragraphs between long ones stay."""
-    if not html:
-        return ""
-    lines = page_lines(html)
-    if any(text and inside for text, _, inside in lines):
-        lines = [x for x in lines if x[2] and x[0]]
-        least = 1
-    else:
-        least = SURGE
-    weight = [0 if link else len(text) for text, link, _ in lines]
+    Where a page has an ``article`` or ``main`` with text, its lines carry SURGE besides, so that text
+    surges with the first of them however short, and lines outside it carry nothing."""
+    contained = any(text and inside for text, _, inside in lines)
+    weight = [0 if link or (contained and not inside) else len(text) for text, link, inside in lines]
     run = 0
     for i, (_, link, _) in enumerate([*lines, ("", False, False)]):
         if link:
@@ -206,11 +218,20 @@ def main_text(html: str | None) -> str:
             continue
         if 0 < run < MENU:
             for k in range(i - run, i):
-                weight[k] = len(lines[k][0])
+                weight[k] = len(lines[k][0]) if lines[k][2] or not contained else 0
         run = 0
-    n = len(lines)
-    windows = [sum(weight[i : i + WINDOW]) for i in range(n)]
-    surge = min(least, max(windows, default=0))
+    return [w + SURGE if w and contained else w for w in weight]
+
+
+def text_between(weight: list[int]) -> list[int]:
+    """Lines between surge and dive, by the distribution of sums over sliding windows of WINDOW lines.
+
+    Text surges at a line with weight whose window reaches SURGE (or the page's largest sum, if that
+    is less) and dives where a window holds nothing; lines with weight in between are kept."""
+    n = len(weight)
+    total = [0, *accumulate(weight)]
+    windows = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
+    surge = min(SURGE, max(windows, default=0))
     kept, i = [], 0
     while i < n:
         if not weight[i] or windows[i] < surge:
@@ -218,9 +239,21 @@ def main_text(html: str | None) -> str:
             continue
         while i < n and windows[i]:
             if weight[i]:
-                kept.append(lines[i][0])
+                kept.append(i)
             i += 1
-    return "\n".join(kept)
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    """The article's lines, joined by one newline; empty for a null or empty page.
+
+    Tags only tell where lines end and what they weigh (``line_weights``); the window sums decide
+    what is kept (``text_between``). In an article every line outside menus carries a surge of its
+    own, so that short paragraphs between long ones, or alone, stay."""
+    if not html:
+        return ""
+    lines = page_lines(html)
+    return "\n".join(lines[i][0] for i in text_between(line_weights(lines)))
 
 
 def extracted_text(html: Column) -> Column:
