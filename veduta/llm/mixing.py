@@ -50,12 +50,13 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = SOURCE_WEIGHTS)
 
 def uniform(key: Column, seed: int) -> Column:
     """Uniform in (0, 1) from an MD5 of key and seed, the same in every run."""
-    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed))).cast("binary")), 1, 12), 16, 10)
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 12), 16, 10)
     return (digits.cast("double") + F.lit(0.5)) / F.lit(2.0**48)
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[int] = SOURCE_WEIGHTS, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, epochs, fraction_words.
+def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[int] = SOURCE_WEIGHTS, seed: int = 7, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, epochs, fraction_words (and the
+    column ``row`` that numbers rows, where given).
 
     size is the number of words (null or blank text: 0), target that of the document's source, and
     taken the words the mix takes of it. A source is first taken whole as often as its target
@@ -65,10 +66,14 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Seq
 
     Prefix sums run inside KEY_RANGES ranges of the key and are offset by the sums of the ranges
     before, so a source with a third of all rows is spread over as many groups. A null source is a
-    source; rows with equal keys are ordered by doc_id and size, and repeated rows count each.
+    source; rows with equal keys are ordered by doc_id and size, and repeated rows count each, one
+    after the other. A row without doc_id is keyed by its text, so that such rows spread as well.
+    Sources themselves are few: one row of each passes through one task (``source_targets``).
     Without ``labels`` (doc_id, quality) every document weighs 1; a document with several labels
     takes the largest."""
-    thin = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    number = F.lit(0).cast("long") if row is None else F.col(row)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    thin = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), name.alias("_name"), number.alias("_row"))
     if labels is None:
         thin = thin.withColumn("_quality", F.lit(None).cast("int"))
     else:
@@ -77,8 +82,8 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Seq
     weight = F.lit(1.0)
     for label, w in QUALITY_WEIGHTS.items():
         weight = F.when(F.col("_quality") == label, F.lit(w)).otherwise(weight)
-    key = -F.log(uniform(F.col("doc_id"), seed)) / weight
-    keyed = thin.select("doc_id", "source", "size", key.alias("_key")).withColumn(
+    key = -F.log(uniform(F.col("_name"), seed)) / weight
+    keyed = thin.select("doc_id", "source", "size", "_row", key.alias("_key")).withColumn(
         "_range", F.least(F.lit(KEY_RANGES - 1), F.floor((1 - F.exp(-F.col("_key"))) * KEY_RANGES).cast("int"))
     )
     rows = stored(keyed)
@@ -89,7 +94,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Seq
     plan = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(
         offsets["source"].alias("_source"), F.col("_range").alias("_in"), "_before", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = summed.join(plan, summed["source"].eqNullSafe(plan["_source"]) & (summed["_range"] == plan["_in"]))
     whole = F.floor("target").cast("long")
@@ -97,7 +102,8 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Seq
     out = out.withColumn("epochs", epochs).withColumn("_budget", whole - F.col("epochs") * F.col("source_size"))
     room = F.col("_budget") - F.col("_before") - F.col("_inside")
     out = out.withColumn("fraction_words", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), room)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("fraction_words")).alias("taken"), "epochs", "fraction_words")
+    columns = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("fraction_words")).alias("taken"), "epochs", "fraction_words"]
+    return out.select(*columns, *([] if row is None else [F.col("_row").alias(row)]))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[int] = SOURCE_WEIGHTS, seed: int = 7, whole: bool = False) -> DataFrame:
@@ -108,25 +114,27 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, weights: S
     within it (``n_chars``, where there is such a column, follows), so that rows hold the words of
     ``mix_documents``; with ``whole`` it comes with its full text if that ends nearer to the budget
     than leaving it out, or else not once more, and every row is one of ``docs``. Documents that the mix takes
-    nothing of, those without words among them, do not come. Rows that repeat a doc_id must agree
-    in text and source; they then are taken alike."""
-    taken = mix_documents(docs, labels, weights, seed)
-    per_id = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("epochs").alias("_epochs"), F.max("fraction_words").alias("_fraction"))
-    rows = without(docs, "_id", "_size", "_epochs", "_fraction", "_words")
-    sized = rows.withColumn("_words", word_count(F.col("text")))
-    joined = sized.join(per_id, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).where("_words > 0")
+    nothing of, those without words among them, do not come. Rows that repeat a doc_id are taken
+    one by one, so that together they never pass the budget.
+
+    The rows are numbered and stored once; numbers and word counts alone are mixed, and the texts
+    taken are joined by their number, which spreads them evenly whatever their ids are."""
+    rows = stored(without(docs, "_mix_row", "_mix_epochs", "_mix_fraction", "_mix_words", "_mix_take").withColumn("_mix_row", F.monotonically_increasing_id()))
+    mixed = mix_documents(rows, labels, weights, seed, "_mix_row").where("epochs > 0 or fraction_words > 0")
+    wanted = mixed.select("_mix_row", F.col("size").alias("_mix_words"), F.col("epochs").alias("_mix_epochs"), F.col("fraction_words").alias("_mix_fraction")).where("_mix_words > 0")
+    joined = rows.join(wanted, "_mix_row")
     if whole:
-        taken_whole = 2 * F.col("_fraction") >= F.col("_words")
-        joined = joined.withColumn("_fraction", F.when(taken_whole, F.col("_words")).otherwise(F.lit(0).cast("long")))
-    copies = F.transform(F.sequence(F.lit(1), F.col("_epochs")), lambda _: F.col("_words"))
-    copies = F.when(F.col("_epochs") > 0, copies).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(copies, F.when(F.col("_fraction") > 0, F.array("_fraction")).otherwise(F.array().cast("array<bigint>")))
-    each = joined.withColumn("_take", F.explode(copies))
+        taken_whole = 2 * F.col("_mix_fraction") >= F.col("_mix_words")
+        joined = joined.withColumn("_mix_fraction", F.when(taken_whole, F.col("_mix_words")).otherwise(F.lit(0).cast("long")))
+    copies = F.transform(F.sequence(F.lit(1), F.col("_mix_epochs")), lambda _: F.col("_mix_words"))
+    copies = F.when(F.col("_mix_epochs") > 0, copies).otherwise(F.array().cast("array<bigint>"))
+    copies = F.concat(copies, F.when(F.col("_mix_fraction") > 0, F.array("_mix_fraction")).otherwise(F.array().cast("array<bigint>")))
+    each = joined.withColumn("_mix_take", F.explode(copies))
     if whole:
         return each.select(*[F.col(f"`{c}`") for c in docs.columns])
-    head = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_take").cast("int")), " ")
-    cut = each.withColumn("text", F.when(F.col("_take") < F.col("_words"), head).otherwise(F.col("text")))
+    head = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_mix_take").cast("int")), " ")
+    cut = each.withColumn("text", F.when(F.col("_mix_take") < F.col("_mix_words"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        uncut = F.col("_take") == F.col("_words")
+        uncut = F.col("_mix_take") == F.col("_mix_words")
         cut = cut.withColumn("n_chars", F.when(uncut, F.col("n_chars")).otherwise(F.length("text").cast("long")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])

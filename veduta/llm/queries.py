@@ -134,7 +134,7 @@ ORACLES = {
         d AS (
           SELECT documents.doc_id, source,
                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                 -ln((('0x' || substr(md5(coalesce(documents.doc_id::VARCHAR, '') || ':7'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+                 -ln((('0x' || substr(md5(coalesce(documents.doc_id::VARCHAR, md5(coalesce(text, ''))) || ':7'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
                    / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
           FROM documents LEFT JOIN lab ON documents.doc_id = lab.doc_id
         ), s AS (

@@ -44,13 +44,13 @@ def with_shards(df: DataFrame, key: str, weights: Sequence[float], grown_weights
 def with_slots(df: DataFrame, key: str, order: Sequence[str], ranges: int = SLOT_RANGES) -> DataFrame:
     """Numbers the rows of every ``shard`` gaplessly from 0 as ``slot``.
 
-    A shard is cut into ``ranges`` hash ranges of the key; rows are numbered inside a range and
-    offset by the sizes of the ranges before it, so no task holds a whole shard. The table of range
-    sizes has at most shards x ``ranges`` rows, which bounds what is broadcast. Rows equal in key
-    and ``order`` are numbered in any order; null keys share one range; an empty table gives none.
-    An existing column ``slot`` is replaced."""
+    A shard is cut into ``ranges`` hash ranges of key and ``order``; rows are numbered inside a range
+    and offset by the sizes of the ranges before it, so no task holds a whole shard, and rows
+    without a key spread by their other columns. The table of range sizes has at most shards x
+    ``ranges`` rows, which bounds what is broadcast. Rows equal in key and ``order`` are numbered
+    in any order; an empty table gives none. An existing column ``slot`` is replaced."""
     df = without(df, "slot", "_range", "_before")
-    ranged = df.withColumn("_range", F.pmod(F.xxhash64(F.lit("slot"), F.col(f"`{key}`")), F.lit(ranges)).cast("int"))
+    ranged = df.withColumn("_range", F.pmod(F.xxhash64(F.lit("slot"), F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in order]), F.lit(ranges)).cast("int"))
     sizes = ranged.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     doc_id, size (UTF-8 bytes of text plus 8; null text: 8), text_crc32 (unsigned; null text: 0),
     law, shard, slot, grown_shard. Only ids, sizes and checksums are shuffled, never texts. Repeated
-    rows get slots of their own; null doc_ids share a shard."""
+    rows get slots of their own; null doc_ids share a shard, as law ``key`` asks."""
     text = F.col("text").cast("binary")
     thin = docs.select(
         "doc_id",
