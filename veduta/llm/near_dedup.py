@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veduta.llm.components import components
-from veduta.llm.tables import stored, without
+from veduta.llm.tables import discard, stored, without
 from veduta.llm.wordhash import mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -307,6 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = members.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     several = members.groupBy("doc_id").agg(F.count_distinct("rep").alias("n")).where("n > 1").select("doc_id")
     reached = components(links.unionByName(ties.join(several, F.col("u") == F.col("doc_id"), "left_semi")))
+    discard(signed)
     out = members.join(reached, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     named = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
@@ -327,7 +328,18 @@ def _unnamed(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, one of each component, with all their columns."""
+    """The documents that ``near_duplicates`` keeps, one of each component, with all their columns.
+
+    Of rows that share a kept doc_id one stays, that of the longest text (then the one greatest by
+    a hash of the text). Rows without doc_id link with nothing and all stay."""
     dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     rows = without(docs, "_dropped")
-    return rows.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    kept = rows.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("_dropped"), F.pmod("doc_id", F.lit(1)).alias("_z"))
+    repeated = stored(named.groupBy("_dropped", "_z").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_dropped"))
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, F.col("doc_id") == F.col("_dropped"), "left_semi")
+    order = F.struct(F.coalesce(F.octet_length("text"), F.lit(-1)), F.xxhash64("text"))
+    one = again.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), order).alias("_one")).select("_one.*")
+    return kept.join(repeated, F.col("doc_id") == F.col("_dropped"), "left_anti").unionByName(one)
