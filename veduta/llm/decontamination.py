@@ -7,34 +7,36 @@ item's length in a document is embedded and looked up in tables keyed by a few s
 of the embedding. Embeddings are repeated until simulated pairs at the full allowed distance are
 found with the target recall; what is found is verified by exact edit distance. Short items are
 found without loss: of an item cut into one piece more than the allowed edits, one piece stays whole.
+The allowed share of edits is the same for all lengths.
 """
 
 from __future__ import annotations
 
-import logging
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veduta.llm.tables import without
+from veduta.llm.tables import discard, stored
 from veduta.llm.wordhash import blocks, mix, words
 
 #: Allowed edits as a share of an item's words, rounded down; items of fewer than SHORT words are found by pieces.
 EDIT_SHARE, SHORT = 0.25, 12
-#: Sampled positions in a table's key, tables per embedding, embeddings at most, target recall.
-SAMPLED, TABLES, MOST_EMBEDDINGS, RECALL = 3, 8, 256, 0.99
+#: Sampled positions in a table's key, tables per embedding, embeddings at most, target recall. Where
+#: so many embeddings do not reach the recall, keys of that length have fewer positions.
+SAMPLED, TABLES, MOST_EMBEDDINGS, RECALL = 3, 8, 128, 0.99
 #: Lengths at which embeddings are counted, simulated pairs of each, and words of items with one count.
 CALIBRATED, SIMULATED, TYPICAL = 12, 200, 64
-#: Items searched for in one pass over the documents; bounds what is collected and broadcast.
-ITEMS_AT_ONCE = 20_000
-_LOG = logging.getLogger(__name__)
+#: Items, and words of them, searched for in one pass over the documents; bounds what is collected and broadcast.
+ITEMS_AT_ONCE, WORDS_AT_ONCE = 20_000, 1_000_000
 _GRAM_BITS = 20
 #: Pairs of a place and a short item compared at once.
 _PAIRS_AT_ONCE = 1 << 15
@@ -72,15 +74,15 @@ def _grams(value: np.ndarray, q: int) -> np.ndarray:
     return (out >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
 
 
-def embedding_keys(windows: np.ndarray, embeddings: range) -> np.ndarray:
-    """Table keys (windows x embeddings * TABLES) of equally long word-hash windows.
+def embedding_keys(windows: np.ndarray, embeddings: range, sampled: int = SAMPLED) -> np.ndarray:
+    """Table keys (windows x embeddings * TABLES) of equally long word-hash windows, of ``sampled`` positions each.
 
     At every step the walk emits the word it stands on, then moves on or stays by a random bit of
     (embedding, step, word); past the end it emits 0. Sampled steps lie within twice the window's
     length, where the walk's end is expected."""
     count, n = windows.shape
     padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
-    share = np.stack([np.random.default_rng(1000 + e).random((TABLES, SAMPLED)) for e in embeddings])
+    share = np.stack([np.random.default_rng(1000 + e).random((TABLES, SAMPLED))[:, :sampled] for e in embeddings])
     steps = (share * 2 * n).astype(int)  # embeddings x tables x samples
     number = np.array(embeddings, np.uint64)
     emitted = np.empty((count, *steps.shape), np.uint64)
@@ -93,7 +95,7 @@ def embedding_keys(windows: np.ndarray, embeddings: range) -> np.ndarray:
         move = mix(symbol ^ mix(number * np.uint64(65537) + np.uint64(j + 1))) >> np.uint64(63)
         pointer = np.minimum(pointer + move.astype(np.int64), n)
     key = np.broadcast_to((number[:, None] * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)), emitted.shape[:3])
-    for k in range(SAMPLED):
+    for k in range(sampled):
         key = mix(key * _FOLD + emitted[..., k] + steps[..., k].astype(np.uint64))
     return key.reshape(count, -1)
 
@@ -141,8 +143,8 @@ class ItemIndex:
 
     ids: list[int]
     items: list[np.ndarray]
-    #: Embeddings per length.
-    embeddings: dict[int, int] = field(default_factory=dict)
+    #: Embeddings and sampled positions per length.
+    embeddings: dict[int, tuple[int, int]] = field(default_factory=dict)
     #: Per gram size a bitmap: bit k is set where an item of the k-th length (mod 64) has the gram.
     grams: dict[int, np.ndarray] = field(default_factory=dict)
     #: Per length its bit, sorted table keys and their items.
@@ -163,12 +165,16 @@ class ItemIndex:
             seen = self.grams.setdefault(_gram_size(n), np.zeros(1 << _GRAM_BITS, np.uint64))
             for i in own:
                 seen[_grams(self.items[i], _gram_size(n))] |= np.uint64(1 << k % 64)
-            keys = embedding_keys(np.stack([self.items[i] for i in own]), range(self.embeddings[n]))
+            keys = self._keys(n, np.stack([self.items[i] for i in own]))
             flat, item = keys.ravel(), np.repeat(np.array(own), keys.shape[1])
             order = np.argsort(flat, kind="stable")
             self.tables[n] = k % 64, flat[order], item[order]
         return self
 
+    def _keys(self, n: int, windows: np.ndarray) -> np.ndarray:
+        many, sampled = self.embeddings[n]
+        return embedding_keys(windows, range(many), sampled)
+
     def _cut(self, short: dict[int, list[int]]) -> None:
         """Indexes short items by their pieces."""
         for n, own in short.items():
@@ -220,23 +226,25 @@ class ItemIndex:
         close = within(np.stack([self.items[i] for i in item.tolist()]), regions, d)
         yield from zip(r[close].tolist(), item[close].tolist(), start[close].tolist(), strict=True)
 
-    def _calibrated(self, by_length: dict[int, list[int]], recall: float) -> dict[int, int]:
-        """Per length the embeddings that find the target share of simulated pairs at the full
-        allowed distance: measured at some lengths, none with fewer than a shorter one needs. The worst
-        length of up to TYPICAL words decides for all of them, as the measure of a single one is rough."""
+    def _calibrated(self, by_length: dict[int, list[int]], recall: float) -> dict[int, tuple[int, int]]:
+        """Per length the embeddings, and positions in a key, that find the target share of simulated
+        pairs at the full allowed distance: measured at some lengths, none with an easier setting than
+        a shorter one needs. The worst length of up to TYPICAL words decides for all of them, as
+        the measure of a single one is rough."""
         random = np.random.default_rng(5)
         lengths = sorted(by_length)
-        measured = {}
+        measured: dict[int, tuple[int, int]] = {}
         for n in (lengths[i] for i in np.unique(np.linspace(0, len(lengths) - 1, CALIBRATED).astype(int))) if lengths else ():
-            measured[n], share = self._embeddings_for(n, by_length[n], recall, random)
-            if share < recall:
-                _LOG.warning("%d embeddings find %.3f of simulated pairs of %d words, less than %.3f", measured[n], share, n, recall)
-        at, most = list(measured), list(accumulate(measured.values(), max))
-        typical = max([e for n, e in measured.items() if n <= TYPICAL], default=0)
-        return {n: max(typical, most[bisect_left(at, n)]) for n in lengths}
-
-    def _embeddings_for(self, n: int, own: list[int], recall: float, random: np.random.Generator) -> tuple[int, float]:
-        """Embeddings, MOST_EMBEDDINGS at most, and the share of simulated pairs that they find."""
+            measured[n] = self._embeddings_for(n, by_length[n], recall, random)
+        hardness = lambda x: (-x[1], x[0])
+        at, most = list(measured), list(accumulate(measured.values(), lambda x, y: max(x, y, key=hardness)))
+        typical = max([e for n, e in measured.items() if n <= TYPICAL], default=(0, SAMPLED), key=hardness)
+        return {n: max(typical, most[bisect_left(at, n)], key=hardness) for n in lengths}
+
+    def _embeddings_for(self, n: int, own: list[int], recall: float, random: np.random.Generator) -> tuple[int, int]:
+        """Embeddings and sampled positions that reach the recall on simulated pairs.
+
+        With fewer positions in a key more windows meet an item by chance; the exact check sorts them out."""
         edited = []
         chosen = random.choice(own, SIMULATED)
         for i in chosen:
@@ -252,15 +260,16 @@ class ItemIndex:
                     del w[at]
             edited.append((w + [np.uint64(random.integers(1, 1 << 62)) for _ in range(n)])[:n])
         a, b = np.stack([self.items[i] for i in chosen]), np.array(edited, np.uint64)
-        found = np.zeros(len(a), bool)
-        for first in range(0, MOST_EMBEDDINGS, 8):
-            some = range(first, min(first + 8, MOST_EMBEDDINGS))
-            same = (embedding_keys(a, some) == embedding_keys(b, some)).reshape(len(a), len(some), TABLES).any(axis=2)
-            for e, hit in zip(some, same.T, strict=True):
-                found |= hit
-                if found.mean() >= recall:
-                    return e + 1, float(found.mean())
-        return MOST_EMBEDDINGS, float(found.mean())
+        for sampled in range(SAMPLED, 0, -1):
+            found = np.zeros(len(a), bool)
+            for first in range(0, MOST_EMBEDDINGS, 8):
+                some = range(first, min(first + 8, MOST_EMBEDDINGS))
+                same = (embedding_keys(a, some, sampled) == embedding_keys(b, some, sampled)).reshape(len(a), len(some), TABLES).any(axis=2)
+                for e, hit in zip(some, same.T, strict=True):
+                    found |= hit
+                    if found.mean() >= recall:
+                        return e + 1 + (e + 2) // 2, sampled  # half as many more, as the measure is rough
+        raise ValueError(f"{MOST_EMBEDDINGS} embeddings find {found.mean():.3f} of simulated pairs of {n} words, less than {recall:.3f}")
 
     def windows(self, value: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(length, starts) of the windows that may lie within the allowed distance of an item.
@@ -299,7 +308,7 @@ class ItemIndex:
     def looked_up(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that share a table key."""
         _, keys, item = self.tables[n]
-        own = embedding_keys(windows, range(self.embeddings[n]))
+        own = self._keys(n, windows)
         low, high = np.searchsorted(keys, own.ravel(), "left"), np.searchsorted(keys, own.ravel(), "right")
         many = high - low
         spread = np.repeat(np.arange(len(many)), many)
@@ -329,8 +338,9 @@ class ItemIndex:
             windows = np.concatenate([w for *_, w in pieces])
             part = np.repeat([p for p, *_ in pieces], [len(s) for _, s, _ in pieces])
             start = np.concatenate([s for _, s, _ in pieces])
-            for k in range(0, len(windows), 2048):
-                w, item = self.looked_up(n, windows[k : k + 2048])
+            at_once = max(64, 30_000 // self.embeddings[n][0])
+            for k in range(0, len(windows), at_once):
+                w, item = self.looked_up(n, windows[k : k + at_once])
                 for x, i in zip((w + k).tolist(), item.tolist(), strict=True):
                     row = parts[part[x]][2]
                     candidates.setdefault((int(part[x]), int(np.searchsorted(row, start[x], "right")) - 1, i), []).append(int(start[x]))
@@ -361,9 +371,7 @@ def _regions(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
 _RESULT = "doc_id long, item_id long, item_words int, edit_distance int, end_word long"
 
 
-def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
+def _search(docs: DataFrame, shared: Broadcast[ItemIndex]) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
@@ -378,9 +386,24 @@ def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").where("text is not null").mapInPandas(search, _RESULT)
 
 
-def item_slices(benchmark: DataFrame, recall: float, at_once: int) -> list[Callable[[], ItemIndex]]:
+def _holds(text: Column, shared: Broadcast[ItemIndex]) -> Column:
+    """Whether a text holds an item."""
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            out[[r for r, *_ in shared.value.matches([t if isinstance(t, str) else None for t in texts])]] = True
+            yield pd.Series(out)
+
+    return holds(text)
+
+
+def item_slices(benchmark: DataFrame, recall: float, at_once: int, words_at_once: int = WORDS_AT_ONCE) -> list[Callable[[], ItemIndex]]:
+    """Loaders of the slices of a benchmark, of about ``at_once`` items and ``words_at_once`` words each at most."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    slices = max(1, -(-items.count() // at_once))
+    many, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
+    slices = max(1, -(-many // at_once), -(-total // words_at_once))
 
     def load(s: int) -> ItemIndex:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).orderBy("item_id", "text").collect()
@@ -397,20 +420,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL,
     end_word the number of the document's words up to that stretch's end. Documents without a
     match have no row. Null or empty texts and items match nothing; repeated documents or items
     give rows each; a row without doc_id is searched and reported with a null doc_id. A benchmark
-    of more than ``at_once`` items is searched for in several passes, so that what is broadcast
-    stays bounded. Texts are not shuffled."""
-    out: DataFrame | None = None
-    for load in item_slices(benchmark, recall, at_once):
-        found = _search(docs, load())
-        out = found if out is None else out.unionByName(found)
-    assert out is not None
-    return out
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    of more than ``at_once`` items (or WORDS_AT_ONCE words) is searched for in several passes, one
+    after the other, each of which reads the documents. Texts are not shuffled."""
+    slices, out = item_slices(benchmark, recall, at_once), []
+    for load in slices:
+        shared = docs.sparkSession.sparkContext.broadcast(load())
+        if len(slices) == 1:
+            return _search(docs, shared)
+        out.append(stored(_search(docs, shared)))
+        shared.destroy()  # driver and executors hold one slice at a time
+    return reduce(DataFrame.unionByName, out)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns.
 
-    Rows without doc_id stay only if no such row is contaminated."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    rows = without(docs, "_found")
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    Every row is judged by its own text in the task that reads it, without joins or shuffles, so
+    rows without doc_id, or that share one, stay or go singly. Rows without text stay."""
+    slices = item_slices(benchmark, recall, at_once)
+    kept: DataFrame = docs
+    for load in slices:
+        shared = docs.sparkSession.sparkContext.broadcast(load())
+        before, kept = kept, kept.where(~_holds(F.col("text"), shared))
+        if len(slices) > 1:
+            kept = stored(kept)
+            shared.destroy()
+            discard(before)
+    return kept
