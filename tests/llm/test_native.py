@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.data import edge_docs, edge_rows, no_docs, row
 from tests.oracle import connect, same
-from veduta.llm.exact_dedup import exact_duplicates
+from veduta.llm.exact_dedup import digested, exact_duplicates, merged_runs
 from veduta.llm.mixing import mix_documents, mixed_documents, source_targets
 from veduta.llm.queries import ORACLES, QUERIES
 from veduta.llm.sharding import rendezvous_shard, shard_documents, with_shards, with_slots
@@ -41,6 +43,37 @@ def test_shards_of_edge_cases(spark):
     assert shard_documents(no_docs(spark)).count() == 0
 
 
+def spark_hash(key, shard):
+    """Spark's 64-bit hash of a long and an int, by the public xxHash64."""
+    h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+    return xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), h)
+
+
+def test_shards_by_brute_force(spark):
+    def best(key, shards):
+        return min((-math.log(((spark_hash(key, s) >> 11) + 0.5) / 2**53), s) for s in range(shards))[1]
+
+    rows = [row(i, f"t{i}") for i in [*range(300), -5, 2**62, None]]
+    for r in shard_documents(spark.createDataFrame(rows, edge_docs(spark).schema)).collect():
+        assert (r["shard"], r["grown_shard"]) == (best(r["doc_id"], 24), best(r["doc_id"], 25))
+
+
+def test_rows_without_a_key_spread_over_slot_ranges(spark):
+    docs = spark.range(500).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("c"), F.lit(0).alias("shard"))
+    out = with_slots(docs, "k", ["c"])
+    assert sorted(r["slot"] for r in out.collect()) == list(range(500))
+
+
+def test_runs_are_sorted_and_merged_in_rounds(spark):
+    docs = spark.range(1000).select("id", F.concat(F.lit("t"), F.col("id") % 40).alias("text")).withColumnRenamed("id", "doc_id").repartition(9)
+    plan = merged_runs(digested(docs), F.max)._jdf.queryExecution().executedPlan().toString()
+    rounds = 3  # 512 runs by eights
+    assert plan.count("SortAggregate") == 2 * rounds and plan.count("Sort [") >= rounds and "HashAggregate" not in plan
+    for runs, fan_in in ((1, 2), (2, 2), (9, 2), (512, 8)):
+        got = {(r["keep_id"], r["group_size"]) for r in merged_runs(digested(docs), F.min, runs, fan_in).collect()}
+        assert got == {(i, 25) for i in range(40)}
+
+
 def test_sharding_is_fair_and_stable(spark):
     ids = spark.range(20_000).toDF("k")
     out = with_shards(ids, "k", [1.0, 2.0, 1.0], [1.0, 2.0, 1.0, 4.0]).collect()
@@ -84,7 +117,7 @@ def judge(url, rules, default="allow"):
     rest = re.split("[?#]", url.split("://", 1)[1])[0]
     host, slash, path = rest.partition("/")
     host, path = folded(host), slash + path
-    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    fits = [r for r in rules if (not r.host or host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: (len(r.name), len(r.host)), default=None)
     return host, path, best and best.name, best.verdict if best else default
 
@@ -93,7 +126,8 @@ def test_url_rules_by_brute_force(spark):
     from veduta.llm.url_filters import RULES
 
     pages = spark.createDataFrame([(i, u, "clash", 5) for i, u in URLS], "page_id long, url string, host string, _row long")
-    for rules, default in ((RULES, "allow"), ((Rule("block", "x.net", ""), Rule("allow", "com", "/en/"), Rule("block", "c.net", "/es/")), "block")):
+    loose = (Rule("block", "", "/x/"), Rule("allow", "", "/en"), Rule("block", "", ""), Rule("allow", "net", ""))
+    for rules, default in ((RULES, "allow"), (loose, "allow"), (loose[:2], "block"), ((Rule("block", "x.net", ""), Rule("allow", "com", "/en/"), Rule("block", "c.net", "/es/")), "block")):
         got = Counter(tuple(r) for r in judge_urls(pages, rules, default).collect())
         assert got == Counter((i, *judge(u, rules, default)) for i, u in URLS)
     assert judge_urls(pages.limit(0)).count() == 0
@@ -123,6 +157,25 @@ def test_mix_of_edge_cases(spark):
     assert mix_documents(no_docs(spark)).count() == 0
 
 
+def test_repeated_rows_take_what_the_mix_says(spark):
+    schema = edge_docs(spark).schema
+    rows = [row(i % 7, " ".join(["w%d" % (i % 7)] * (3 + i % 7)), "en", "b") for i in range(70)] + [row(None, "n n n", "en", "b")] * 9
+    rows += [row(500 + i, "x " * 9, "en", "a") for i in range(300)]
+    docs = spark.createDataFrame(rows, schema)
+    mixed = mix_documents(docs).collect()
+    want = Counter()
+    for r in mixed:
+        want[r["doc_id"]] += r["taken"]
+    got, by_source = Counter(), Counter()
+    for r in mixed_documents(docs).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+        by_source[r["source"]] += len(r["text"].split())
+    assert got == +want
+    targets = {r["source_size"]: int(r["target"]) for r in mixed}
+    sizes = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "ab"}
+    assert by_source == {s: targets[sizes[s]] for s in "ab"}
+
+
 def test_mixed_rows_hold_the_words_taken(spark):
     docs = spark.createDataFrame([row(i, " ".join(["w"] * (i + 1)), "en", "s%d" % (i % 4)) for i in range(50)], edge_docs(spark).schema)
     want = {r["doc_id"]: r["taken"] for r in mix_documents(docs).collect() if r["taken"]}

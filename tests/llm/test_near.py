@@ -68,10 +68,18 @@ def test_kept_documents(spark):
     out = without_near_duplicates(docs)
     assert out.columns == docs.columns
     kept = [r["doc_id"] for r in out.collect()]
-    assert sorted(str(k) for k in kept) == sorted(str(r[0]) for r, w in zip(edge_rows(), edge_rows(), strict=True) if r[0] not in (7, 8, 11))
+    assert sorted(str(k) for k in kept) == sorted(str(r[0]) for r in edge_rows() if r[0] not in (7, 8, 11))
     assert near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_one_row_of_a_repeated_id_stays(spark):
+    a, b = " ".join(words(30, 1)), " ".join(words(31, 2))
+    rows = [row(1, a), row(1, a), row(2, b), row(2, a), row(None, a), row(None, a), row(4, None), row(4, None)]
+    kept = without_near_duplicates(spark.createDataFrame(rows, edge_docs(spark).schema)).collect()
+    # 2 has a text of 1, so both are one component; rows without id stay.
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("1", a), ("4", ""), ("None", a), ("None", a)])
+
+
 def test_repeated_id_ties_its_texts(spark):
     a, b = " ".join(words(30, 1)), " ".join(words(30, 2))
     rows = [row(1, a), row(2, b), row(3, a), row(3, b)]
@@ -145,6 +153,7 @@ def test_leaks_by_brute_force(spark):
     assert kept.columns == docs.columns
     hit = {d for d, _ in got}
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(x[0]) for x in rows if x[0] not in hit)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     assert contaminated(no_docs(spark), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -164,22 +173,34 @@ def test_short_items_by_brute_force():
     assert got == want and len({i for (_, i), e in want.items() if e}) > 40
 
 
-def test_every_length_reaches_the_recall(caplog, monkeypatch):
+def test_every_length_reaches_the_recall(monkeypatch):
     r = np.random.default_rng(2)
-    items = [r.integers(1, 1 << 62, n).astype(np.uint64) for n in (16, 30, 60, 250)]
+    lengths = (12, 50, 200, 800)
+    items = [r.integers(1, 1 << 62, n).astype(np.uint64) for n in lengths]
     index = decontamination.ItemIndex(list(range(4)), items).build(0.99)
-    assert not caplog.records
-    for n, item in zip((16, 250), (items[0], items[-1]), strict=True):
-        found = 0
-        for _ in range(60):
+    for n, item in zip(lengths, items, strict=True):
+        edited_windows = []
+        for _ in range(200):
             w = list(item)
-            for at in r.choice(n, n // 4, replace=False):
-                w[at] = np.uint64(r.integers(1, 1 << 62))
-            found += len(index.looked_up(n, np.array([w], np.uint64))[0]) > 0
-        assert found >= 57
-    monkeypatch.setattr(decontamination, "MOST_EMBEDDINGS", 2)
-    decontamination.ItemIndex(list(range(4)), items).build(0.99)
-    assert "250 words" in caplog.text
+            for _ in range(decontamination.allowed_edits(n)):
+                kind, at, fresh = r.integers(3), r.integers(len(w)), np.uint64(r.integers(1, 1 << 62))
+                w[at : at + (kind != 1)] = [] if kind == 2 else [fresh]
+            edited_windows.append((w + [np.uint64(r.integers(1, 1 << 62)) for _ in range(n)])[:n])
+        hit = index.looked_up(n, np.array(edited_windows, np.uint64))[0]
+        assert len(set(hit.tolist())) >= 198, n
+    monkeypatch.setattr(decontamination, "MOST_EMBEDDINGS", 1)
+    with pytest.raises(ValueError, match="800 words"):
+        decontamination.ItemIndex([3], items[3:]).build(0.99)
+
+
+def test_rows_are_judged_singly(spark):
+    item, clean = words(20, 5), words(40, 6)
+    rows = [row(None, " ".join(clean)), row(None, " ".join([*clean, *item])), row(1, " ".join(item)), row(1, " ".join(clean)), row(2, None)]
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(words(400, 7)))], "item_id long, text string")
+    for at_once in (100, 1):
+        kept = decontaminated(docs, bench, at_once=at_once)
+        assert sorted((str(x["doc_id"]), x["text"] or "") for x in kept.collect()) == sorted([("None", " ".join(clean)), ("1", " ".join(clean)), ("2", "")])
 
 
 def test_walks_of_equal_windows_agree():
