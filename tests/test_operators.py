@@ -9,7 +9,7 @@ from veduta.operators import merge
 from veduta.operators.dedup import pick_best, unique_match
 from veduta.operators.line_classes import classify_lines, split_lines
 from veduta.operators.matching import match_steps, similar_names, tier_score
-from veduta.operators.reconcile import collision_guard, field_plan, reconcile
+from veduta.operators.reconcile import collision_guard, field_plan, reconcile, same_value, worst_rank
 from veduta.operators.rules import canonical_event_type
 from veduta.operators.sequences import anchored_groups, carry_forward, round_robin, running_budget
 
@@ -131,8 +131,26 @@ def test_similar_names_blocks_losslessly(spark):
 def test_scores_and_types(spark):
     df = spark.createDataFrame([("red", "red"), ("red bolt", "red"), ("a red bolt", "red"), ("blue", "red"), ("x", "")], "v string, n string")
     assert [r[0] for r in df.select(tier_score(F.col("v"), F.col("n"))).collect()] == [1.0, 0.9, 0.8, 0.0, 0.0]
-    kinds = spark.createDataFrame([("festival opera",), ("concert et recital",), ("matinee",), ("talk",)], "k string")
-    assert [r[0] for r in kinds.select(canonical_event_type(F.col("k"))).collect()] == ["opera", "concert", "matinee", "other"]
+
+
+TYPES = {
+    "Opéra en concert": "opera", "Opérette": "operetta", "operetta night": "operetta", "children_s_opera": "opera", "Drame musical": "opera", "Festival Ring": "opera",
+    "Récital": "recital", "Concert recital": "recital", "chamber_music": "concert", "Symphonie": "concert", "musique_de_chambre": "chamber_music", "Ballet": "ballet", "dance-concert": "concert",
+    "matinée": "matinee", "CHILDREN_FAMILY": "children_family", "talk": "other", None: "other",
+}
+
+
+def test_event_types(spark):
+    kinds = spark.createDataFrame([(k,) for k in TYPES], "k string")
+    assert {r[0]: r[1] for r in kinds.select("k", canonical_event_type(F.col("k"))).collect()} == TYPES
+
+
+def test_states_without_verdict(spark):
+    df = spark.createDataFrame([(["HUMAN_CONFIRMED", None, "odd"], 1), (["review_required", "canonical_verified"], 0), ([None], None), ([], None)], "s array<string>, want int")
+    assert all(r[0] == r[1] for r in df.select(worst_rank(F.col("s")), "want").collect())
+    times = spark.createDataFrame([("19:00", "19:00:00"), ("9:05", "09:05"), ("19:00", "19:00:30")], "o string, n string")
+    same = [r[0] for r in times.select(same_value("start_time", F.col("o")).eqNullSafe(same_value("start_time", F.col("n")))).collect()]
+    assert same == [True, True, False]
 
 
 def test_sequences(spark):

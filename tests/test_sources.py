@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from veduta.sources import events, files, html
@@ -33,7 +34,10 @@ def test_json_ld_quarantine(spark):
     assert [sorted(r["errors"]) for r in lost.collect()] == [["bad_date", "bad_url", "missing_id"]]
     report = files.ingestion_report(sound, lost).first()
     assert (report["events"], report["quarantined"], report["status"]) == (1, 1, "PARTIAL")
-    assert events.season_rows(sound, date(2026, 9, 1), date(2027, 8, 31)).count() == 1
+    again = sound.withColumn("n", F.lit(1)).unionByName(sound.withColumn("n", F.lit(2)).withColumn("title", F.lit("New")).withColumn("date", F.date_add("date", -1)))
+    again = again.unionByName(sound.withColumn("n", F.lit(0)).withColumn("date", F.date_add("date", 3)))
+    last = events.season_rows(again, date(2026, 9, 1), date(2027, 8, 31), "n").collect()
+    assert [(r["title"], r["n"]) for r in last] == [("New", 2)]
 
 
 def test_json_files(spark, tmp_path):
@@ -44,6 +48,13 @@ def test_json_files(spark, tmp_path):
     assert files.json_lines(spark, f"{tmp_path}/staged", "id long").count() == 4
 
 
+@pytest.mark.parametrize("document", ['{"items": []}', '{"articles": [{"id": 1}', "7"])
+def test_documents_of_another_shape_raise(spark, tmp_path, document):
+    (tmp_path / "a.json").write_text(document)
+    with pytest.raises(Exception, match="neither a list|MALFORMED|PARSE|FAILFAST"):
+        files.json_documents(spark, f"{tmp_path}/*.json", "id: int").collect()
+
+
 def test_feed(spark):
     xml = "<rss><channel><item><link> http://a/1 </link><title>T</title><pubDate>Fri, 02 Jan 2026 03:04:05 +0000</pubDate><summary> </summary><description>d</description></item></channel></rss>"
     row = files.feed_entries(spark.createDataFrame([("f", xml)], "feed string, xml string")).first()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: The shapes of an identity, in the order of its tests.
 SHAPES = ("numeric", "uuid", "source_prefixed", "url_like", "date_composite", "slug_or_text", "other")
-_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Version 1 to 5, variant 8 to b.
+_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
 def event_key(source: Column, source_id: Column) -> Column:
@@ -30,15 +31,19 @@ def short_digest(c: Column, digits: int = 16) -> Column:
 
 
 def identity_shape(value: Column, source: Column) -> Column:
-    """The first of SHAPES that fits."""
-    v = F.coalesce(value, F.lit(""))
+    """The first of SHAPES that fits the trimmed value.
+
+    A prefix needs something after it, a date no digit on either side, and a text at least one letter
+    among letters, digits, spaces and the marks of titles."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    prefix = F.concat(source, F.lit(":"))
     tests = (
         v.rlike(r"^\p{Nd}+$"),
         v.rlike(_UUID),
-        v.startswith(F.concat(source, F.lit(":"))),
-        v.rlike(r"(?i)^https?://"),
-        v.rlike(r"\d{4}-\d{2}-\d{2}"),
-        v.rlike(r"^[\p{L}\p{N}_][\p{L}\p{N}_\s.\-]*$"),
+        v.startswith(prefix) & (F.length(v) > F.length(prefix)),
+        v.rlike(r"(?i)^(?:https?:)?//|(?i)^www\."),
+        v.rlike(r"(?<![0-9])\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}(?![0-9])"),
+        v.rlike(r"^[\p{L}\p{N}_][\p{L}\p{N}_ .:/+'()–—-]*$") & v.rlike(r"\p{L}"),
     )
     out = F.when(tests[0], SHAPES[0])
     for test, shape in zip(tests[1:], SHAPES[1:], strict=False):

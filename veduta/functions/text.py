@@ -39,6 +39,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def clean_label(c: Column) -> Column:
+    """White space and ``_`` become single spaces; spaces, commas, semicolons and dashes go at the ends."""
+    return F.btrim(F.regexp_replace(F.replace(text_or_empty(c), F.lit("_"), F.lit(" ")), r"\s+", " "), F.lit(" ,;–—"))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -57,18 +57,27 @@ def set_difference(left: DataFrame, right: DataFrame, names: tuple[str, str]) ->
 def swap_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> None:
     """Writes ``df`` beside ``path``, reads it back for ``check``, then puts it in the path's place.
 
-    ``df`` may read ``path`` itself. If writing or checking fails, the old content is untouched."""
+    ``df`` may read ``path`` itself. If writing, checking or either renaming fails, the old content is
+    at ``path`` as before; it is deleted only once the new content is there."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     here, fresh, old = (hadoop.Path(path + s) for s in ("", ".fresh", ".old"))
     files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old):
+        if files.exists(here):
+            files.delete(old, True)  # left by a run that ended after its swap
+        elif not files.rename(old, here):  # left by a run that ended amid its swap
+            raise OSError(f"cannot restore {path}")
     df.write.mode("overwrite").parquet(path + ".fresh")
     if check:
         check(spark.read.parquet(path + ".fresh"))
-    files.delete(old, True)
-    if files.exists(here):
-        files.rename(here, old)
-    files.rename(fresh, here)
+    replaces = files.exists(here)
+    if replaces and not files.rename(here, old):
+        raise OSError(f"cannot set {path} aside")
+    if not files.rename(fresh, here):
+        if replaces and not files.rename(old, here):
+            raise OSError(f"cannot put {path} in place; its old content is at {path}.old")
+        raise OSError(f"cannot put {path} in place")
     files.delete(old, True)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veduta.functions.dates import clock
+from veduta.functions.text import squeeze
 from veduta.operators.rules import cascade
 
 
@@ -44,8 +46,8 @@ def field_plan(old: Column, new: Column, present: Column, loaded: Column, old_ra
     """What to do with one field of a matched row, first rule that fits:
 
     absent (not staged), configuration_error (stored value was not loaded), preserved (a curated
-    field that has a value), unchanged, protected_from_null, fill_missing, quality_downgrade,
-    change. Empty means null or ''."""
+    field that has a value), unchanged, protected_from_null, fill_missing, quality_downgrade (both
+    ranks known, the staged one lower), change. Empty means null or ''."""
     old_empty, new_empty = old.isNull() | (old == ""), new.isNull() | (new == "")
     return cascade(
         [
@@ -61,17 +63,38 @@ def field_plan(old: Column, new: Column, present: Column, loaded: Column, old_ra
     )
 
 
-#: Ranks of verification states; an unknown state ranks 1.
-QUALITY_RANKS = {"missing": 0, "unverified": 1, "inferred": 2, "verified": 3}
+#: Ranks of verification states; any other state ranks 1.
+QUALITY_RANKS = {"incomplete_source_data": 0, "review_required": 0, "source_verified": 1, "canonical_verified": 2, "human_confirmed": 3, "manually_confirmed": 3}
 
 
 def quality_rank(state: Column) -> Column:
-    return cascade([(state == k, v) for k, v in QUALITY_RANKS.items()], 1)
+    """Rank of a state in any case; null, which gives no verdict, has none."""
+    return cascade([(state.isNull() | (state == ""), F.lit(None).cast("int")), *[(F.lower(state) == k, v) for k, v in QUALITY_RANKS.items()]], 1)
 
 
 def worst_rank(states: Column) -> Column:
-    """Rank of the worst member of an array of states; an empty array ranks 1."""
-    return F.coalesce(F.array_min(F.transform(states, quality_rank)), F.lit(1))
+    """Rank of the worst member of an array that has a state; null if none has."""
+    return F.array_min(F.filter(F.transform(states, quality_rank), lambda r: r.isNotNull()))
+
+
+def same_value(name: str, c: Column) -> Column:
+    """What two values of a field are compared by, and what is written: times lose seconds of zero,
+    titles extra white space; an empty value is null."""
+    if name in ("start_time", "end_time"):
+        c = clock(F.trim(c))
+    elif name == "title":
+        c = squeeze(c)
+    return F.when(c != "", c)
+
+
+#: Fields that a staged record may patch, and those that are only observed.
+PATCHABLE = ("start_time", "end_time", "room", "event_type")
+OBSERVED = ("artists", "classification", "credits", "data_quality", "normalization_status", "programme", "verification_status")
+
+
+def observation(old: Column, new: Column) -> Column:
+    """What a staged value says of a field that is never written."""
+    return cascade([(old.eqNullSafe(new), "unchanged"), (new.isNull() | (new == ""), "empty_staging")], "changed_or_quality_review")
 
 
 def collision_guard(outcomes: DataFrame) -> DataFrame:

@@ -75,11 +75,14 @@ def event_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "identity_histogram",
     r"""
     WITH v AS (SELECT doc_id::VARCHAR AS v, source AS s FROM documents UNION ALL SELECT source || ':' || doc_id, source FROM documents UNION ALL SELECT url, 'web' FROM pages
-               UNION ALL SELECT p_name, 'part' FROM part UNION ALL SELECT p_brand || '?', 'part' FROM part UNION ALL SELECT 'x-' || strftime(o_orderdate, '%Y-%m-%d') || '-1', 'o' FROM orders),
+               UNION ALL SELECT p_name, 'part' FROM part UNION ALL SELECT p_brand || '?', 'part' FROM part
+               UNION ALL SELECT '//' || split_part(url, '://', 2), 'web' FROM pages UNION ALL SELECT source || ':', source FROM documents UNION ALL SELECT lpad(doc_id::VARCHAR, 8, '0') || '-0000-' || (doc_id % 8) || '000-8000-000000000000', 'u' FROM documents
+               UNION ALL SELECT '9' || strftime(o_orderdate, '%Y-%m-%d'), 'o' FROM orders UNION ALL SELECT 'x-' || strftime(o_orderdate, '%Y-%m-%d') || '-1', 'o' FROM orders),
     k AS (SELECT CASE WHEN regexp_full_match(v, '\p{Nd}+') THEN 'numeric'
-        WHEN regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN 'uuid'
-        WHEN prefix(v, s || ':') THEN 'source_prefixed' WHEN regexp_matches(v, '(?i)^https?://') THEN 'url_like'
-        WHEN regexp_matches(v, '\d{4}-\d{2}-\d{2}') THEN 'date_composite' WHEN regexp_matches(v, '^[\p{L}\p{N}_][\p{L}\p{N}_\s.\-]*$') THEN 'slug_or_text' ELSE 'other' END AS shape FROM v)
+        WHEN regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') THEN 'uuid'
+        WHEN prefix(v, s || ':') AND length(v) > length(s) + 1 THEN 'source_prefixed' WHEN regexp_matches(v, '(?i)^(https?://|//|www\.)') THEN 'url_like'
+        WHEN regexp_matches(v, '(^|[^0-9])\d{4}-\d{2}-\d{2}([^0-9]|$)') THEN 'date_composite'
+        WHEN regexp_matches(v, '^[\p{L}\p{N}_][\p{L}\p{N}_ .:/+''()–—-]*$') AND regexp_matches(v, '\p{L}') THEN 'slug_or_text' ELSE 'other' END AS shape FROM (SELECT trim(v) AS v, s FROM v))
     SELECT d.shape, count(k.shape) AS n FROM (SELECT unnest(['numeric', 'uuid', 'source_prefixed', 'url_like', 'date_composite', 'slug_or_text', 'other']) AS shape) d LEFT JOIN k ON k.shape = d.shape GROUP BY d.shape""",
 )
 def identity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,10 @@ def identity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         binding.pages(spark, sf_dir).select("url", F.lit("web")),
         part.select("p_name", F.lit("part")),
         part.select(F.concat("p_brand", F.lit("?")), F.lit("part")),
+        binding.pages(spark, sf_dir).select(F.concat(F.lit("//"), F.split("url", "://")[1]), F.lit("web")),
+        docs.select(F.concat("source", F.lit(":")), "source"),
+        docs.select(F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("-0000-"), (F.col("doc_id") % 8).cast("string"), F.lit("000-8000-000000000000")), F.lit("u")),
+        orders.select(F.concat(F.lit("9"), F.date_format("o_orderdate", "yyyy-MM-dd")), F.lit("o")),
         orders.select(F.concat(F.lit("x-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-1")), F.lit("o")),
     ):
         values = values.union(more)

@@ -19,7 +19,7 @@ _PLAIN = (
     "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 )
 _CANON = r"""CASE WHEN lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) IN ('http', 'https') AND regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) <> ''
-    THEN lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/$', '') END"""
+    THEN lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) || coalesce(nullif(regexp_replace(regexp_replace(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/$', ''), ''), '/') END"""
 
 
 @query(
@@ -148,11 +148,12 @@ def digest_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "day_gate",
-    "SELECT CAST(ts AS DATE) AS day, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events WHERE hour(ts) = 9) WHERE r = 1",
+    "SELECT CAST(ts AS DATE) AS day, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM (SELECT event_id, user_id, timezone('Europe/Paris', timezone('UTC', ts)) AS ts FROM events) WHERE hour(ts) = 9) WHERE r = 1",
 )
 def day_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one record a day that passes the nine o'clock gate."""
-    rows = binding.usage(spark, sf_dir).where(F.hour("ts") == 9).select(F.to_date("ts").alias("day"), "event_id", "user_id", "ts")
+    """The one record a day of Paris that passes the gate at nine o'clock there."""
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Paris")
+    rows = binding.usage(spark, sf_dir).withColumn("ts", local).where(F.hour("ts") == 9).select(F.to_date("ts").alias("day"), "event_id", "user_id", "ts")
     return pick_best(rows, ["day"], [F.col("ts"), F.col("event_id")]).drop("ts")
 
 

@@ -197,22 +197,22 @@ def collision_guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "field_update_plan",
     """
-    WITH old AS (SELECT doc_id, lang AS old_value, CASE WHEN quality = 1 THEN 'verified' WHEN quality = 0 THEN 'unverified' ELSE 'missing' END AS old_state FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q USING (doc_id)),
-    new AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN NULL WHEN n_chars < 600 THEN '' WHEN n_chars < 900 THEN upper(lang) ELSE lang END AS new_value, CASE WHEN n_chars < 750 THEN 'inferred' ELSE 'verified' END AS new_state, n_chars >= 200 AS present, source <> 'src3' AS loaded, source = 'src5' AS curated FROM documents)
+    WITH old AS (SELECT doc_id, lang AS old_value, CASE WHEN quality = 1 THEN 'human_confirmed' WHEN quality = 0 THEN 'review_required' END AS old_state FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q USING (doc_id)),
+    new AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN NULL WHEN n_chars < 600 THEN '' WHEN n_chars < 900 THEN upper(lang) ELSE lang END AS new_value, CASE WHEN n_chars < 750 THEN 'source_verified' ELSE 'Canonical_Verified' END AS new_state, n_chars >= 200 AS present, source <> 'src3' AS loaded, source = 'src5' AS curated FROM documents)
     SELECT doc_id, old_value, new_value,
       CASE WHEN NOT present THEN 'absent' WHEN NOT loaded THEN 'configuration_error' WHEN curated AND coalesce(old_value, '') <> '' AND old_value IS DISTINCT FROM new_value THEN 'preserved'
            WHEN (coalesce(old_value, '') = '' AND coalesce(new_value, '') = '') OR old_value IS NOT DISTINCT FROM new_value THEN 'unchanged' WHEN coalesce(new_value, '') = '' THEN 'protected_from_null' WHEN coalesce(old_value, '') = '' THEN 'fill_missing'
-           WHEN CASE new_state WHEN 'missing' THEN 0 WHEN 'unverified' THEN 1 WHEN 'inferred' THEN 2 WHEN 'verified' THEN 3 ELSE 1 END < CASE old_state WHEN 'missing' THEN 0 WHEN 'unverified' THEN 1 WHEN 'inferred' THEN 2 WHEN 'verified' THEN 3 ELSE 1 END THEN 'quality_downgrade' ELSE 'change' END AS plan
+           WHEN CASE new_state WHEN 'source_verified' THEN 1 ELSE 2 END < CASE old_state WHEN 'human_confirmed' THEN 3 WHEN 'review_required' THEN 0 END THEN 'quality_downgrade' ELSE 'change' END AS plan
     FROM old JOIN new USING (doc_id)""",
 )
 def field_update_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge plan of one field over all documents, staged values varying with length."""
     docs = binding.articles(spark, sf_dir)
     known = binding.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    state = cascade([(F.col("quality") == 1, "verified"), (F.col("quality") == 0, "unverified")], "missing")
+    state = F.when(F.col("quality") == 1, "human_confirmed").when(F.col("quality") == 0, "review_required")
     n = F.col("n_chars")
     new = F.when(n < 300, F.lit(None).cast("string")).when(n < 600, "").when(n < 900, F.upper("lang")).otherwise(F.col("lang"))
-    new_state = F.when(n < 750, "inferred").otherwise("verified")
+    new_state = F.when(n < 750, "source_verified").otherwise("Canonical_Verified")
     rows = docs.join(known, "doc_id", "left").select("doc_id", F.col("lang").alias("old_value"), new.alias("new_value"), state.alias("_old"), new_state.alias("_new"), (n >= 200).alias("_present"), "source")
     plan = field_plan(F.col("old_value"), F.col("new_value"), F.col("_present"), F.col("source") != "src3", quality_rank(F.col("_old")), quality_rank(F.col("_new")), F.col("source") == "src5")
     return rows.select("doc_id", "old_value", "new_value", plan.alias("plan"))
@@ -220,12 +220,12 @@ def field_update_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "worst_quality",
-    "SELECT source, min(CASE WHEN quality = 1 THEN 3 WHEN quality = 0 THEN 1 ELSE 0 END)::INTEGER AS worst, count(*) AS documents FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source",
+    "SELECT source, min(CASE WHEN quality = 1 THEN 3 WHEN quality = 0 THEN 0 END)::INTEGER AS worst, count(*) AS documents FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source",
 )
 def worst_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst state among a source's documents."""
+    """The worst state among a source's documents; those without a state give no verdict."""
     known = binding.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    state = cascade([(F.col("quality") == 1, "verified"), (F.col("quality") == 0, "unverified")], "missing")
+    state = F.when(F.col("quality") == 1, "manually_confirmed").when(F.col("quality") == 0, "incomplete_source_data")
     rows = binding.articles(spark, sf_dir).select("doc_id", "source").join(known, "doc_id", "left")
     return rows.groupBy("source").agg(F.collect_set(state).alias("_s"), F.count(F.lit(1)).alias("documents")).select("source", worst_rank(F.col("_s")).alias("worst"), "documents")
 

@@ -49,15 +49,18 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) AS scheme,
         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS authority,
         regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/$', '') AS path FROM pages)
-    SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND authority <> '' THEN scheme || '://' || authority || path END AS canonical,
+    SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND authority <> '' THEN scheme || '://' || authority || CASE path WHEN '' THEN '/' ELSE path END END AS canonical,
            split_part(url, '#', 1) AS no_fragment,
-           CASE WHEN length(split_part(authority, '.', -1)) = 2 THEN upper(split_part(authority, '.', -1)) ELSE 'int' END AS country
-    FROM u""",
+           CASE WHEN regexp_matches(authority, '\.(de|fr|es|it|at|ch|pt)$') THEN split_part(authority, '.', -1) WHEN suffix(authority, '.uk') THEN 'gb' ELSE 'other' END AS country,
+           CASE WHEN regexp_matches(lower(regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1)), '^(de|fr|es|it|pt)([-_].*)?$') THEN lower(regexp_extract(html, '(?i)<html[^>]*\slang="([A-Za-z]*)', 1)) ELSE 'other' END AS language_country,
+           CASE WHEN regexp_matches(trim(url), '(?i)^https?:') THEN trim(url) ELSE '#' END AS safe
+    FROM (SELECT u.*, pages.html FROM u JOIN pages USING (page_id))""",
 )
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical form, fragment-free form and country of every page url."""
+    """Canonical, fragment-free and safe form of every page url; country by domain and by language."""
     u = F.col("url")
-    return binding.pages(spark, sf_dir).select("page_id", urls.canonical_url(u).alias("canonical"), urls.without_fragment(u).alias("no_fragment"), urls.country_of(u).alias("country"))
+    return binding.pages(spark, sf_dir).select("page_id", urls.canonical_url(u).alias("canonical"), urls.without_fragment(u).alias("no_fragment"), urls.country_of(u).alias("country"),
+        urls.country_of_language(F.regexp_extract("html", r'(?i)<html[^>]*\slang="([^"]*)"', 1)).alias("language_country"), urls.safe_link(u).alias("safe"))
 
 
 @query(

@@ -55,7 +55,8 @@ def split_quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(F.size("errors") == 0).drop("errors"), events.where(F.size("errors") > 0)
 
 
-def season_rows(events: DataFrame, first: date, last: date) -> DataFrame:
-    """Events of a season, last row of every key, by (date, start_time, key)."""
+def season_rows(events: DataFrame, first: date, last: date, position: str) -> DataFrame:
+    """Events of a season, the last row of every key by input ``position`` (a numeric column), by
+    (date, start_time, key)."""
     kept = events.where(F.col("date").between(F.lit(first), F.lit(last)))
-    return pick_best(kept, ["event_key"], [F.col("date"), F.coalesce("start_time", F.lit(""))]).orderBy("date", F.coalesce("start_time", F.lit("")), "event_key")
+    return pick_best(kept, ["event_key"], [-F.col(position)]).orderBy("date", F.coalesce("start_time", F.lit("")), "event_key")

@@ -17,13 +17,18 @@ def json_lines(spark: SparkSession, path: str, schema: str | StructType) -> Data
 def json_documents(spark: SparkSession, path: str, element: str, field: str = "articles") -> DataFrame:
     """Elements of whole-document JSON files: a list, or an object with the list under ``field``.
 
-    ``element`` is the DDL of an element's fields."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{element}>>")
-    wrapped = F.from_json("value", f"struct<{field}: array<struct<{element}>>>")[field]
-    is_list = F.ltrim("value").startswith("[")
-    rows = whole.where(is_list).select(F.inline(listed))
-    return rows.unionByName(whole.where(~is_list).select(F.inline(wrapped)))
+    ``element`` is the DDL of an element's fields. Broken JSON, and documents of another shape, raise."""
+    return json_elements(spark.read.text(path, wholetext=True), "value", element, field)
+
+
+def json_elements(documents: DataFrame, column: str, element: str, field: str = "articles") -> DataFrame:
+    """Elements of a column of JSON documents, as ``json_documents`` has them."""
+    strict = {"mode": "FAILFAST"}
+    is_list = F.ltrim(column).startswith("[")
+    listed = F.from_json(F.when(is_list, F.col(column)), f"array<struct<{element}>>", strict)
+    wrapped = F.from_json(F.when(~is_list, F.col(column)), f"struct<{field}: array<struct<{element}>>>", strict)[field]
+    wrong = F.raise_error(F.concat(F.lit(f"neither a list nor an object with {field}: "), F.substring(column, 1, 60)))
+    return documents.select(F.coalesce(listed, wrapped, wrong).alias("_elements")).select(F.inline("_elements"))
 
 
 def stage_json_lines(df: DataFrame, path: str) -> None:
