@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veduta.functions.text import title_key
+
 #: The shapes of an identity, in the order of its tests.
 SHAPES = ("numeric", "uuid", "source_prefixed", "url_like", "date_composite", "slug_or_text", "other")
 #: Version 1 to 5, variant 8 to b.
@@ -26,6 +28,12 @@ def named_identity(prefix: str, name: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.md5(F.lower(name).cast("binary")))
 
 
+def work_identity(composer_id: Column, title: Column) -> Column:
+    """``work:`` and the MD5 of composer and title key; no composer counts as empty."""
+    joined = F.concat_ws("|", F.coalesce(composer_id.cast("string"), F.lit("")), title_key(title))
+    return F.concat(F.lit("work:"), F.md5(joined.cast("binary")))
+
+
 def short_digest(c: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(c.cast("binary"), 256), 1, digits)
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _accents() -> tuple[str, str]:
-    """Every single Latin, Greek or Cyrillic letter whose compatibility decomposition is one base
+    """Every single Latin, Greek or Cyrillic letter, and ordinal mark, whose compatibility decomposition is one base
     letter with combining marks, and that letter."""
     pairs = {}
-    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+    for code in (0xAA, 0xBA, *range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if len(base) == 1 and base != chr(code):
             pairs[chr(code)] = base
@@ -74,8 +74,8 @@ def compact_key(c: Column) -> Column:
 
 
 def person_key(c: Column) -> Column:
-    """Name without a trailing life span such as (1685-1750), words of letters and digits."""
-    plain = F.lower(unaccent(text_or_empty(strip_lifespan(c))))
+    """Name without life spans such as (1685-1750), words of letters and digits."""
+    plain = F.lower(unaccent(F.regexp_replace(text_or_empty(c), _LIFESPAN, "")))
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
 
 
@@ -83,6 +83,59 @@ def strip_lifespan(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s*\(\s*\d{3,4}\s*[-–]\s*(?:\d{3,4})?\s*\)\s*$", ""))
 
 
+_LIFESPAN = r"\s*\((?:\*|ca\.\s*)?\d{3,4}(?:\s*[-–—]\s*(?:\*|ca\.\s*)?\d{2,4})?\s*\)"
+
+
+def lifespan(c: Column) -> Column:
+    """The life span in a name, such as (1685–1750), with its parentheses; null without one."""
+    found = F.trim(F.regexp_extract(c, _LIFESPAN, 0))
+    return F.when(found != "", found)
+
+
+def exact_name(c: Column) -> Column:
+    """A name without life span, squeezed, in lower case; accents and marks stay."""
+    return F.lower(squeeze(F.regexp_replace(text_or_empty(c), _LIFESPAN, "")))
+
+
+def relation_key(c: Column) -> Column:
+    """Words of a-z and 0-9 after folding accents; letters without a base letter go."""
+    return F.trim(F.regexp_replace(F.lower(unaccent(text_or_empty(c))), r"[^a-z0-9]+", " "))
+
+
+#: Letters without a base letter, and what they are written as.
+TRANSLITERATIONS = (("ł", "l"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("æ", "ae"), ("œ", "oe"))
+
+
+def transliterated_key(c: Column) -> Column:
+    """As ``relation_key``, but letters without a base letter are written out."""
+    folded = F.lower(unaccent(text_or_empty(c)))
+    for letter, written in TRANSLITERATIONS:
+        folded = F.replace(folded, F.lit(letter), F.lit(written))
+    return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
+
+
+def folded_accents(c: Column) -> Column:
+    """Lower case without accents, trimmed; everything else stays."""
+    return F.trim(F.lower(unaccent(text_or_empty(c))))
+
+
+def folded_case(c: Column) -> Column:
+    """Lower case, squeezed; accents stay."""
+    return squeeze(F.lower(text_or_empty(c)))
+
+
+def slash_parts(c: Column) -> Column:
+    """Trimmed parts between slashes that are not blank; the whole text if none is."""
+    parts = F.filter(F.transform(F.split(c, "/"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
+
+
+def strong_tokens(c: Column) -> Column:
+    """Catalogue numbers that identify a work by themselves, in lower case: a catalogue with its number."""
+    found = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"(?<![\p{L}\p{N}_])(?:(?:bwv|hob\.?|kv|rv|woo|cd)\s*[-\w.]+|op\.?\s*\d+[a-z]?|(?:k|d|s|g)\.?\s*\d[-\w.]*)"), F.lit(0))
+    return F.transform(found, lambda t: F.rtrim(t, F.lit(".")))
+
+
 def title_key(c: Column) -> Column:
     """Title without bracketed parts, quotes and number words; words of letters and digits.
 
@@ -127,6 +180,26 @@ def safe_name(c: Column, default: str = "schedule") -> Column:
     return F.when(cleaned == "", F.lit(default)).otherwise(F.replace(cleaned, F.lit(" "), F.lit("_")))
 
 
+def programme_line(composer: Column, title: Column) -> Column:
+    """``composer · title``, without what is blank."""
+    return F.concat_ws(" · ", F.when(F.trim(composer) != "", F.trim(composer)), F.when(F.trim(title) != "", F.trim(title)))
+
+
+#: Beginnings of the English part of a bilingual role label, in order of precedence.
+ENGLISH_ROLES = (
+    "The ", "A ", "Count ", "Countess ", "Princess ", "Duke ", "King ", "Queen ", "Naval ", "Dancing ", "Singer ", "Innkeeper ", "Sergeant ", "Chorus ",
+    "Soprano", "Countertenor", "Tenor", "Bass", "Baritone", "Mezzo-soprano",
+)
+
+
+def original_role(c: Column) -> Column:
+    """A bilingual role label up to where its English part begins, not at its start."""
+    label = clean_label(c)
+    at = [F.locate(start, label, 2) for start in ENGLISH_ROLES]
+    first = F.coalesce(*[F.when(a > 1, a) for a in at])
+    return F.when(first.isNull(), label).otherwise(F.trim(F.substring(label, F.lit(1), first - 1)))
+
+
 def is_empty(c: Column) -> Column:
     """Null or empty text. ``0`` and ``false`` are values."""
     return c.isNull() | (c == "")

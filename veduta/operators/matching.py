@@ -4,7 +4,7 @@ Fuzzy similarity is evidence for a reviewer; it assigns nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,10 +12,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veduta.functions.text import search_key_unicode
+from veduta.functions.text import exact_name, person_key, search_key_unicode
 from veduta.operators.rules import cascade
 
 
+def last_alias(masters: DataFrame, aliases: str, key: str, normal: Callable[[Column], Column]) -> DataFrame:
+    """(key, id): every alias in an array column by its normalised key; of equal keys the last id counts."""
+    each = masters.select(F.col(key).alias("id"), F.explode(aliases).alias("_a"))
+    return each.groupBy(normal(F.col("_a")).alias("key")).agg(F.max("id").alias("id"))
+
+
+def lookup_statuses(inputs: DataFrame, key: str, raw: str, gate: Column, master: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Inputs with ``status`` and ``composer_id``, looked up among canonical names and aliases.
+
+    A reason from ``gate`` makes a ``false_positive_input``. Names in lower case without life span are
+    tried first, then keys of letters and digits. The first of the two steps that finds anyone decides:
+    one composer is a match (``exact`` or ``alias``, ``normalized_exact`` or ``normalized_alias``; by alias
+    if no canonical name fits), several are ``ambiguous``, and so is a single word that would stand for
+    a canonical name of several words. Nothing found is ``unmatched``. Similar names are never assigned.
+
+    ``master`` has composer_id and canonical_name, ``aliases`` composer_id and alias. Both are reduced to
+    one row per key before the join, so that a key of many composers and inputs does not multiply."""
+    names = master.select("composer_id", F.col("canonical_name").alias("_name"), F.lit(0).alias("_alias"), "canonical_name")
+    known = names.unionByName(aliases.join(master, "composer_id").select("composer_id", F.col("alias").alias("_name"), F.lit(1).alias("_alias"), "canonical_name"))
+    gated = inputs.withColumn("_gate", gate)
+    open_ = gated.where(F.col("_gate").isNull())
+    found = None
+    for step, normal in enumerate((exact_name, person_key)):
+        right = known.groupBy(normal(F.col("_name")).alias("_k")).agg(
+            F.count_distinct("composer_id").alias("_n"), F.min("composer_id").alias("composer_id"), F.min("_alias").alias("_alias"),
+            F.max((F.col("_alias") == 0) & person_key(F.col("canonical_name")).contains(" ")).alias("_several_words"),
+        )
+        single = ~person_key(F.col(raw)).contains(" ")
+        hit = open_.select(key, normal(F.col(raw)).alias("_k"), single.alias("_single")).join(right, "_k")
+        one = hit.select(key, "_n", "composer_id", "_alias", (F.col("_single") & F.col("_several_words")).alias("_surname"), F.lit(step).alias("_step"))
+        found = one if found is None else found.unionByName(one)
+    assert found is not None
+    first = found.groupBy(key).agg(F.min_by(F.struct("_n", "composer_id", "_alias", "_surname", "_step"), F.col("_step")).alias("_f"))
+    rows = gated.join(first, key, "left")
+    f = F.col("_f")
+    status = cascade(
+        [
+            (F.col("_gate").isNotNull(), "false_positive_input"),
+            (f.isNull(), "unmatched"),
+            ((f["_n"] > 1) | f["_surname"], "ambiguous"),
+            ((f["_alias"] == 1) & (f["_step"] == 0), "alias"),
+            (f["_alias"] == 1, "normalized_alias"),
+            (f["_step"] == 0, "exact"),
+        ],
+        "normalized_exact",
+    )
+    matched = status.isin("alias", "normalized_alias", "exact", "normalized_exact")
+    return rows.select(*inputs.columns, F.col("_gate").alias("reason"), status.alias("status"), F.when(matched, f["composer_id"]).alias("composer_id"))
+
+
 def match_steps(candidates: DataFrame, candidate: str, steps: Sequence[tuple[str, DataFrame]], target: str) -> DataFrame:
     """candidate, target, status, matches.
 

@@ -1,6 +1,6 @@
 """Queries by subject; importing this package registers them all."""
 
-from veduta.plans import audit, catalogue, feeds, repair, scalars, sequences
+from veduta.plans import audit, catalogue, feeds, identities, records, repair, scalars, sequences, types
 from veduta.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audit", "catalogue", "feeds", "repair", "scalars", "sequences"]
+__all__ = ["QUERIES", "SQL", "audit", "catalogue", "feeds", "identities", "records", "repair", "scalars", "sequences", "types"]
