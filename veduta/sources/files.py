@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from veduta.functions.dates import parse_moment
 
@@ -37,17 +38,24 @@ def stage_json_lines(df: DataFrame, path: str) -> None:
 
 
 def feed_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """RSS items of a column of feed documents: feed columns, link, title, published, body.
+    """RSS items of a column of feed documents: feed columns, position, link, title, published, body.
 
     The body is the first of content, summary and description that has text."""
     item = "struct<link: string, title: string, pubDate: string, updated: string, content: string, summary: string, description: string>"
     parsed = F.from_xml(F.col(xml), f"struct<channel: struct<item: array<{item}>>>")
-    rows = feeds.withColumn("_item", F.explode(parsed["channel"]["item"])).drop(xml)
+    rows = feeds.select("*", F.posexplode(parsed["channel"]["item"]).alias("position", "_item")).drop(xml)
     body = F.coalesce(*[F.when(F.trim(f"_item.{c}") != "", F.col(f"_item.{c}")) for c in ("content", "summary", "description")])
     when = parse_moment(F.coalesce("_item.pubDate", "_item.updated"))
     return rows.select(*[c for c in rows.columns if c != "_item"], F.trim("_item.link").alias("link"), F.trim("_item.title").alias("title"), when.alias("published"), body.alias("body"))
 
 
+def first_unseen(entries: DataFrame, seen: DataFrame, feed: str, most: int) -> DataFrame:
+    """The first ``most`` entries of every feed whose link ``seen`` lacks, in the feed's order (column
+    ``position``)."""
+    fresh = entries.join(seen.select("link").distinct(), "link", "left_anti")
+    return fresh.withColumn("_r", F.row_number().over(Window.partitionBy(feed).orderBy("position"))).where(F.col("_r") <= most).drop("_r")
+
+
 def ingestion_report(events: DataFrame, quarantined: DataFrame) -> DataFrame:
     """One row: events, quarantined, with date, with time, with venue, and the run's status."""
     counts = events.agg(
