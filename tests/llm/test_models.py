@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
+import time
+import zlib
 from html import unescape
 
 import numpy as np
@@ -11,13 +15,13 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm.data import edge_docs, no_docs
-from veduta.llm import toxicity
-from veduta.llm.html_extraction import extract_pages, main_text
+from veduta.llm import language_id, quality, toxicity
+from veduta.llm.html_extraction import SURGE, WINDOW, extract_pages, line_weights, main_text, text_between
 from veduta.llm.language_id import identify_languages
 from veduta.llm.quality import score_quality, term_counts
 from veduta.llm.queries import QUERIES
 from veduta.llm.samples import bounded_sample, fold
-from veduta.llm.toxicity import fit_nnpu, score_toxicity
+from veduta.llm.toxicity import score_toxicity
 
 
 @pytest.fixture(scope="module")
@@ -67,13 +71,142 @@ def test_folds_and_samples(spark):
     assert counts == {"big": 600, "small": 500}
 
 
+def _pu_data(seed, n_p, n_u, k):
+    r = np.random.default_rng(seed)
+    some = lambda: np.flatnonzero(r.random(k) < 0.3)
+    return [some() for _ in range(n_p)], [some() for _ in range(n_u)], r.normal(0, 1, k), float(r.normal())
+
+
+def _plain_risk(positive, unlabelled, prior, w, b):
+    """The non-negative PU risk, row by row, and the value in its bracket."""
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+    g = lambda rows: [sum(w[j] for j in f) + b for f in rows]
+    p, u = g(positive), g(unlabelled)
+    bracket = sum(loss(-z) for z in u) / len(u) - prior * sum(loss(-z) for z in p) / len(p)
+    return prior * sum(loss(z) for z in p) / len(p) + max(0.0, bracket), bracket
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_pu_gradient_by_finite_differences(prior):
+    k, signs = 6, set()
+    for seed in range(12):
+        positive, unlabelled, w, b = _pu_data(seed, 9, 30, k)
+        sums = toxicity.loss_sums(unlabelled, np.ones(30), w, b)
+        risk, g, gb = toxicity.nnpu_gradient(positive, sums, 30, prior, w, b)
+        want, bracket = _plain_risk(positive, unlabelled, prior, w, b)
+        assert abs(risk - want) < 1e-9
+        signs.add(bracket >= 0)
+        # Where the bracket is negative, the step climbs it instead.
+        value = (lambda w, b: _plain_risk(positive, unlabelled, prior, w, b)[0]) if bracket >= 0 else (lambda w, b: -_plain_risk(positive, unlabelled, prior, w, b)[1])
+        for j in range(k):
+            d = np.eye(k)[j] * 1e-5
+            assert abs((value(w + d, b) - value(w - d, b)) / 2e-5 - g[j]) < 1e-6
+        assert abs((value(w, b + 1e-5) - value(w, b - 1e-5)) / 2e-5 - gb) < 1e-6
+    assert signs == ({True, False} if prior == 0.9 else {True})
+
+
 def test_pu_learning_finds_the_positive_feature():
     r = np.random.default_rng(0)
-    noise = lambda: np.unique(r.integers(1000, 2000, 20))
-    positive = [np.append([3], noise()) for _ in range(60)]
-    unlabelled = [np.append([3], noise()) if i % 10 == 0 else noise() for i in range(600)]
-    weights, bias = fit_nnpu([np.sort(p) for p in positive], [np.sort(u) for u in unlabelled], 0.1)
-    assert weights[3] + bias > 0 > bias and np.abs(np.delete(weights, 3)).sum() < weights[3]
+    noise = lambda: 1 + np.flatnonzero(r.random(20) < 0.3)
+    positive = [np.append(0, noise()) for _ in range(60)]
+    unlabelled = [np.append(0, noise()) if i % 10 == 0 else noise() for i in range(600)]
+    w, b = toxicity.fit_nnpu(positive, lambda w, b: toxicity.loss_sums(unlabelled, np.ones(600), w, b), 600, 0.1, 21)
+    assert w[0] + b > 0 > b and np.abs(w[1:]).max() < w[0]
+
+
+def test_sums_over_all_unlabelled_texts(spark):
+    texts = ["bad word here", "good word", None, "", "bad bad day", "good word", "other"] * 9
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    chosen = np.unique(np.concatenate(list(toxicity.feature_rows(["bad word"]))))
+    counts, n = toxicity.bucket_counts(docs, chosen)
+    rows = [set(f.tolist()) for f in toxicity.feature_rows(texts)]
+    assert n == len(texts) and counts.tolist() == [sum(c in f for f in rows) for c in chosen.tolist()]
+    w, b = np.linspace(-1, 1, len(chosen)), 0.3
+    got = toxicity.distributed_sums(toxicity.feature_patterns(docs, chosen), len(chosen), n)(w, b)
+    places = [np.flatnonzero([c in f for c in chosen.tolist()]) for f in rows]
+    want = toxicity.loss_sums(places, np.ones(n), w, b)
+    assert np.allclose(got.features, want.features, atol=1e-9) and abs(got.loss - want.loss) < 1e-9 and abs(got.bias - want.bias) < 1e-9
+
+
+def test_calibration_is_a_logistic_fit():
+    r = np.random.default_rng(4)
+    margins = r.normal(0, 50, 4000) - 20
+    y = (r.random(4000) < 1 / (1 + np.exp(-(0.1 * margins + 1)))).astype(int)
+    slope, shift = toxicity.fit_scale(margins, y)
+    assert abs(slope - 0.1) < 0.01 and abs(shift - 1) < 0.2
+
+
+def test_votes_by_brute_force(spark):
+    r = np.random.default_rng(1)
+    make = lambda good: " ".join(r.choice(["calm", "clear", "text", "words"] if good else ["buy!!!", "NOW$$$", "###", "text"], 30))
+    docs = spark.createDataFrame([(i, make(i % 3 > 0)) for i in range(90)] + [(90, ""), (91, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 92)] + [(3, 1), (5, 7), (7, None)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    assert len(model.labels) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(92))
+    got = {x["doc_id"]: x["score"] for x in score_quality(docs, labels).collect()}
+    for x in docs.collect():
+        counts = next(iter(term_counts([x["text"]])))
+        v = model.embed(counts[None, :])[0]
+        near = sorted(((-float(np.dot(v, u)), i) for i, u in enumerate(model.vectors)))[: quality.NEIGHBOURS]
+        weight = [max(0.0, -c) ** 4 for c, _ in near]
+        want = sum(w * model.labels[i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight) if counts.sum() and sum(weight) else model.base
+        # Equal cosines at the edge of the neighbourhood may differ in label.
+        if len({round(c, 5) for c, _ in near}) == len(near) or not counts.sum():
+            assert abs(got[x["doc_id"]] - want) < 1e-4
+
+
+def test_directions_are_those_of_the_decomposition():
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(80, 6)) * [9, 7, 5, 3, 2, 1]) @ r.normal(size=(6, 50)) + 0.01 * r.normal(size=(80, 50))
+    found = quality.leading_directions(x.astype(np.float32), 3)
+    _, _, right = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(found.T @ right[:3].T), np.eye(3), atol=1e-2)
+
+
+def plain_ftrl(rows, bins, classes, order, alpha, beta, l1, l2):
+    """FTRL-proximal with one number at a time."""
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi = z.get((i, c), 0.0)
+        bound = 0.0 if i == bins else l1
+        return 0.0 if abs(zi) <= bound else -(zi - math.copysign(bound, zi)) / ((beta + math.sqrt(n.get((i, c), 0.0))) / alpha + l2)
+
+    for r in order:
+        at, x, y = rows[r]
+        pairs = [*zip(at.tolist(), x.tolist(), strict=True), (bins, 1.0)]
+        logits = [sum(v * weight(i, c) for i, v in pairs) for c in range(classes)]
+        total = sum(math.exp(v - max(logits)) for v in logits)
+        p = [math.exp(v - max(logits)) / total for v in logits]
+        old = {(i, c): weight(i, c) for i, _ in pairs for c in range(classes)}
+        for i, v in pairs:
+            for c in range(classes):
+                g = v * (p[c] - (c == y))
+                before = n.get((i, c), 0.0)
+                sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / alpha
+                z[i, c] = z.get((i, c), 0.0) + g - sigma * old[i, c]
+                n[i, c] = before + g * g
+    return weight
+
+
+def test_ftrl_by_brute_force(monkeypatch):
+    monkeypatch.setattr(language_id, "BINS", 12)
+    r = np.random.default_rng(2)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(30)]
+    w, bias = language_id.fit_ftrl(rows, 3, l1=0.5, epochs=2, seed=9)
+    order = np.random.default_rng(9)
+    visits = [i for _ in range(2) for i in order.permutation(30)]
+    want = plain_ftrl(rows, 12, 3, visits, 0.5, 1.0, 0.5, 0.01)
+    assert np.allclose(w, [[want(i, c) for c in range(3)] for i in range(12)], atol=1e-4)
+    assert np.allclose(bias, [want(12, c) for c in range(3)], atol=1e-4) and (w == 0).any()
+
+
+def test_any_number_of_languages(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i % 205) * 5, f"l{i % 205:03d}") for i in range(1640)], "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(docs, sample=410)
+    assert model.languages == sorted({f"l{i % 205:03d}" for i in range(1640) if zlib.crc32(str(i).encode()) % 3 != 1}) and len(model.languages) > 200
+    held = identify_languages(docs, model).where("lang_pred = lang").count()
+    assert held > 0.9 * 1640
 
 
 def test_toxic_features_count_levels():
@@ -96,11 +229,67 @@ CASES = [
 ]
 
 
+CASES += [
+    ("<article><p>one</p><p data-x=it's>two</p><p>three</p></article>", "one\ntwo\nthree"),
+    ('<article><p title="the hidden door opens">two</p><p hidden>no</p></article>', "two"),
+    ('<article><p data-id="related" data-class="ad">two</p></article>', "two"),
+    ('<article><header class="top"><div><h1>A <b>title</b></h1></div><p>by me</p><nav><h2>no</h2></nav></header><p>t</p></article>', "A title\nt"),
+    ("<body><header><h1>Site</h1></header><article><p>t</p></article></body>", "t"),
+]
+
+
 @pytest.mark.parametrize("html, text", CASES)
 def test_main_text(html, text):
     assert main_text(html) == text
 
 
+def plain_windows(weight):
+    """The window rule as its definition says it, one line at a time."""
+    n = len(weight)
+    window = [sum(weight[i : i + WINDOW]) for i in range(n)]
+    surge = min(SURGE, max(window, default=0))
+    kept, open_ = [], False
+    for i in range(n):
+        if open_ and window[i] == 0:
+            open_ = False
+        if not open_ and weight[i] and window[i] >= surge:
+            open_ = True
+        if open_ and weight[i]:
+            kept.append(i)
+    return kept
+
+
+def test_windows_of_pages_without_containers_by_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        parts, lines = [], []
+        for _ in range(r.randrange(12)):
+            kind, n = r.choice(["p", "menu", "gap"]), r.choice([3, 20, 60, 90])
+            if kind == "p":
+                parts.append(f"<p>{'x' * n}</p>")
+                lines.append(("x" * n, False, False))
+            elif kind == "menu":
+                many = r.randrange(1, 5)
+                parts.append("".join(f"<div><a href=/>{'m' * n}</a></div>" for _ in range(many)))
+            else:
+                parts.append("<section></section>" * 4)
+        page = "".join(parts)
+        from veduta.llm.html_extraction import page_lines
+
+        lines = page_lines(page)
+        weight = line_weights(lines)
+        assert all((w == 0) == (not t or link and w == 0) for w, (t, link, _) in zip(weight, lines, strict=True))
+        assert text_between(weight) == plain_windows(weight)
+        assert main_text(page) == "\n".join(lines[i][0] for i in plain_windows(weight))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000 + "</x>" * 20000, "<article>" + "<b>" * 20000 + "<p>x" * 20000, "<div>" * 20000 + "x", "<b>" * 20000 + "<div>x</div>" * 20000, "<p a='" * 20000])
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 3
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(i, None, h, "clash") for i, (h, _) in enumerate(CASES)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_pages(pages).collect()}
