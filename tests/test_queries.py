@@ -31,6 +31,22 @@ def test_fuzzy_titles(spark, sf_dir):
     assert got == want
 
 
+def test_fuzzy_composers(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    from veduta.operators.matching import common_run
+
+    assert [common_run(t) for t in (0.6, 0.86, 0.9)] == [1, 2, 3]
+    letters = str.maketrans("0123456789", "aeioulnrst")
+    names = sorted({f"{r[0].lower()} {str(r[1]).translate(letters)}" for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_custkey").collect()})
+    want = set()
+    for raw in {n[1:5] + "x" + n[6:] for n in names}:
+        near = sorted((-r, n) for n in names if (r := SequenceMatcher(None, raw, n).ratio()) >= 0.86)[:5]
+        want |= {(raw, n, round(-r, 9)) for r, n in near}
+    got = {(r["raw"], r["composer"], round(r["score"], 9)) for r in plans.QUERIES["composer_candidates"](spark, sf_dir).collect()}
+    assert got == want and len(want) > len(names)
+
+
 @pytest.mark.parametrize("needle", [None, "Brnad#12", "", "BUILDNIG"])
 def test_keyword_search_by_brute_force(spark, sf_dir, needle):
     import re

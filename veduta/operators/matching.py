@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,23 +100,48 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def common_run(least: float, longest: int = 400) -> int:
+    """Characters in a row that two different names of similarity ``least`` share at the very least.
+
+    M matching characters of L in both leave L - 2M unmatched, which part the match into L - 2M + 1
+    blocks at most, so the longest block has M / (L - 2M + 1) characters or more."""
+    found = longest
+    for total in range(2, 2 * longest):
+        matching = ceil(least * total / 2 - 1e-9)
+        if (gap := total - 2 * matching) > 0:
+            found = min(found, ceil(matching / (gap + 1)))
+    return found
+
+
+def _grams(c: Column, q: int) -> Column:
+    """Distinct runs of ``q`` characters; a shorter name is its own."""
+    many = F.greatest(F.length(c) - q, F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), many + 1), lambda i: F.substring(c, i, F.lit(q))))
+
+
 def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, least: float, top: int) -> DataFrame:
     """(left_id, right_id, score, rank): for every left key its ``top`` right keys of similarity
     2M / (|a| + |b|) at ``least`` or more (M: characters in matching blocks).
 
-    Blocked losslessly: such a ratio needs min length >= least / (2 - least) * max length, so keys
-    meet only in lengths in that band, by an equi-join on exploded lengths; and common letters bound
+    Blocked losslessly. Where the threshold ensures a run of two characters or more that both names
+    share (``common_run``; 2 at 0.86, 3 at 0.9), names meet in such runs. Below that they meet in lengths: such a
+    ratio needs min length >= least / (2 - least) * max length; that is for vocabularies, as pairs grow
+    with the square of the names of a length. In both cases common letters, counted once a name, bound
     M from above before Python compares a pair."""
     share = least / (2 - least)
-    a = left.select(F.col(left_id), F.col(key).alias("_a")).where("_a != ''").dropDuplicates()
-    b = right.select(F.col(right_id), F.col(key).alias("_b")).where("_b != ''").dropDuplicates()
-    n = F.length("_a")
-    band = F.explode(F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))).alias("_n")
-    pairs = a.select("*", band).join(b.withColumn("_n", F.length("_b")), "_n")
-    common = F.aggregate(F.zip_with(_letter_counts(F.col("_a")), _letter_counts(F.col("_b")), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    other = F.least(F.length(F.regexp_replace("_a", "[a-z]", "")), F.length(F.regexp_replace("_b", "[a-z]", "")))
-    pairs = pairs.where(2.0 * (common + other) >= least * (F.length("_a") + F.length("_b")))
-
+    side = lambda df, i, k: df.select(F.col(i), F.col(key).alias(k)).where(f"{k} != ''").dropDuplicates().withColumn(f"{k}n", _letter_counts(F.col(k))).withColumn(f"{k}o", F.length(F.regexp_replace(k, "[a-z]", "")))
+    a, b = side(left, left_id, "_a"), side(right, right_id, "_b")
+    n, m = F.length("_a"), F.length("_b")
+    if (q := common_run(least)) >= 2:
+        pairs = a.withColumn("_k", F.explode(_grams(F.col("_a"), q))).join(b.withColumn("_k", F.explode(_grams(F.col("_b"), q))), "_k")
+        pairs = pairs.where(F.least(n, m) >= share * F.greatest(n, m) - 1e-9)
+    else:
+        band = F.explode(F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))).alias("_k")
+        pairs = a.select("*", band).join(b.withColumn("_k", m), "_k")
+    common = F.aggregate(F.zip_with("_an", "_bn", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.where(2.0 * (common + F.least("_ao", "_bo")) >= least * (n + m)).select(left_id, right_id, "_a", "_b")
+    if q >= 2:
+        pairs = pairs.distinct()
     scored = pairs.withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= least)
     order = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(left_id, right_id, "score", "rank")

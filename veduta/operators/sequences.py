@@ -67,14 +67,22 @@ def round_robin(df: DataFrame, key: str, order: Column, start: int) -> DataFrame
     return df.withColumn("turn", F.pmod(index - start, n).cast("int"))
 
 
-def anchored_groups(sorted_values: Column, gap: float) -> Column:
-    """Group number of every value of a sorted array of doubles: a group takes the values within
-    ``gap`` of its first one. (Sessions differ: there the gap counts from the last value.)"""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("out"))
+def anchored_sizes(sorted_values: Column, gap: float) -> Column:
+    """Sizes of the groups of a sorted array of doubles: a group takes the values within ``gap`` of its
+    first one. (Sessions differ: there the gap counts from the last value.) Only where a group ends is
+    anything appended."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = acc["anchor"].isNull() | (x - acc["anchor"] > gap)
-        no = F.when(fresh, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(F.when(fresh, x).otherwise(acc["anchor"]).alias("anchor"), no.alias("no"), F.concat(acc["out"], F.array(no)).alias("out"))
+        ends = acc["anchor"].isNotNull() & (x - acc["anchor"] > gap)
+        begins = ends | acc["anchor"].isNull()
+        out = F.when(ends, F.concat(acc["out"], F.array(acc["n"]))).otherwise(acc["out"])
+        return F.struct(F.when(begins, x).otherwise(acc["anchor"]).alias("anchor"), F.when(begins, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), out.alias("out"))
+
+    return F.aggregate(sorted_values, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(acc["n"]))).otherwise(none))
 
-    return F.aggregate(sorted_values, start, step, lambda acc: acc["out"])
+
+def anchored_groups(sorted_values: Column, gap: float) -> Column:
+    """Group number of every value of a sorted array, by ``anchored_sizes``."""
+    return F.flatten(F.transform(anchored_sizes(sorted_values, gap), lambda n, i: F.array_repeat(i, n)))

@@ -210,6 +210,17 @@ def artist_options_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("left_name != right_name")
 
 
+@query("composer_candidates")
+def composer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every misspelt name the five composers most like it (similarity 0.86 or more): evidence for a
+    review, never a match."""
+    letters = F.translate(F.col("c_custkey").cast("string"), "0123456789", "aeioulnrst")
+    names = binding.table(spark, sf_dir, "customer").select(F.concat_ws(" ", F.lower("c_mktsegment"), letters).alias("name")).distinct()
+    misspelt = F.concat(F.substring("name", 2, 4), F.lit("x"), F.expr("substring(name, 7)"))
+    raw = names.select("name", misspelt.alias("raw"))
+    return similar_names(raw.select("raw", F.col("raw").alias("key")), names.select(F.col("name").alias("composer"), F.col("name").alias("key")), "key", "raw", "composer", 0.86, 5)
+
+
 @query(
     "effective_subscriptions",
     """

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from veduta import binding
 from veduta.operators.dedup import pick_best
-from veduta.operators.sequences import anchored_groups, carry_forward, round_robin, running_budget, runs, sessions, stable_positions
+from veduta.operators.sequences import anchored_sizes, carry_forward, round_robin, running_budget, runs, sessions, stable_positions
 from veduta.plans.registry import query
 
 
@@ -162,12 +162,18 @@ def tumbling_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "cents")
 
 
-@query("anchored_bursts")
+@query(
+    "anchored_bursts",
+    """
+    WITH RECURSIVE v AS (SELECT user_id, CAST(ts AS DATE) AS day, epoch_ms(ts) // 1000 AS s, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts) AS n FROM events),
+    r AS (SELECT user_id, day, n, s AS anchor, 0 AS burst FROM v WHERE n = 1
+          UNION ALL SELECT v.user_id, v.day, v.n, CASE WHEN v.s - r.anchor > 3600 THEN v.s ELSE r.anchor END, r.burst + CASE WHEN v.s - r.anchor > 3600 THEN 1 ELSE 0 END FROM r JOIN v ON v.user_id = r.user_id AND v.day = r.day AND v.n = r.n + 1)
+    SELECT user_id, day, burst, count(*) AS records FROM r GROUP BY user_id, day, burst""",
+)
 def anchored_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user and day the bursts of records, each within an hour of its first, and their sizes.
 
     The array holds one user's day."""
     seconds = F.array_sort(F.collect_list(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")))
     days = binding.usage(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(seconds.alias("s"))
-    each = days.select("user_id", "day", F.explode(anchored_groups(F.col("s"), 3600.0)).alias("burst"))
-    return each.groupBy("user_id", "day", "burst").agg(F.count(F.lit(1)).alias("records"))
+    return days.select("user_id", "day", F.posexplode(anchored_sizes(F.col("s"), 3600.0)).alias("burst", "records")).withColumn("records", F.col("records").cast("long"))
