@@ -44,7 +44,7 @@ def test_fuzzy_composers(spark, sf_dir):
         near = sorted((-r, n) for n in names if (r := SequenceMatcher(None, raw, n).ratio()) >= 0.86)[:5]
         want |= {(raw, n, round(-r, 9)) for r, n in near}
     got = {(r["raw"], r["composer"], round(r["score"], 9)) for r in plans.QUERIES["composer_candidates"](spark, sf_dir).collect()}
-    assert got == want and len(want) > len(names)
+    assert got == want and len(want) > 50
 
 
 @pytest.mark.parametrize("needle", [None, "Brnad#12", "", "BUILDNIG"])

@@ -41,3 +41,30 @@ def non_work_reason(c: Column, composed: Column) -> Column:
 def group_key(c: Column) -> Column:
     """A title's key without spaces, for grouping the spellings of one production."""
     return F.replace(search_key_ascii(c), F.lit(" "), F.lit(""))
+
+
+_CAPITAL = "A-ZÁÉÍÓÚÑÜ"
+_NAME = rf"(?:[{_CAPITAL}][A-Za-zÁÉÍÓÚÑÜáéíóúñü'’-]+|[{_CAPITAL}]\.)"
+_ROLES = "director|directora|soprano|tenor|bar[ií]tono|mezzosoprano"
+#: Keys of headers that no pattern tells.
+HEADERS = ("w byrd", "joven orquesta de canarias jocan")
+
+
+def header_like(c: Column) -> Column:
+    """Two to four names or initials with capitals and nothing else."""
+    return F.trim(text_or_empty(c)).rlike(rf"^{_NAME}(?:\s+{_NAME}){{1,3}}$")
+
+
+def debris_reason(c: Column) -> Column:
+    """Why a title is debris of its page, before any work is looked up; null if it may be a work."""
+    t = F.trim(text_or_empty(c))
+    return cascade(
+        [
+            (search_key_ascii(t).isin(*HEADERS), "composer_or_ensemble_header"),
+            (t.rlike(r"(?iu)^(?:piano|director(?: musical| orquesta)?|voz|soprano|tenor|bar[ií]tono|mezzosoprano)\s*:"), "artist_or_role_credit"),
+            (t.contains(",") & t.rlike(rf"(?iu)\b(?:{_ROLES}|solista|voz)\b"), "artist_or_role_credit"),
+            (t.rlike("^[A-ZÁÉÍÓÚÑ]\\.\\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+$"), "person_or_composer_header"),
+            (t.rlike(r"(?i)^(?:arr\.?|arreglo|arrangement)(?![\p{L}\p{N}_])"), "arrangement_annotation"),
+        ],
+        F.lit(None).cast("string"),
+    )

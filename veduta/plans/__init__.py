@@ -1,6 +1,6 @@
 """Queries by subject; importing this package registers them all."""
 
-from veduta.plans import audit, catalogue, feeds, identities, ingest, programmes, records, repair, scalars, sequences, summaries, types
+from veduta.plans import audit, catalogue, completions, feeds, identities, ingest, programmes, records, repair, scalars, sequences, summaries, types
 from veduta.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audit", "catalogue", "feeds", "identities", "ingest", "programmes", "records", "repair", "scalars", "sequences", "summaries", "types"]
+__all__ = ["QUERIES", "SQL", "audit", "catalogue", "completions", "feeds", "identities", "ingest", "programmes", "records", "repair", "scalars", "sequences", "summaries", "types"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veduta.functions.urls import canonical_url, resolved, url_host
+
 _LINK = r"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 #: The entities that plain text needs.
 ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
@@ -56,3 +58,15 @@ def source_kind(html: Column) -> Column:
 
 def page_language(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\slang=\"([A-Za-z]{2})", 1))
+
+
+def heading_links(pages: DataFrame, page: str, url: str, html: str, seen: DataFrame, least: int = 12) -> DataFrame:
+    """page, link, title of the anchors in headings of level 1 to 3: canonical links to the page's own host,
+    with titles of ``least`` characters, that ``seen`` (column link) lacks and that are no listings by
+    author, tag, category or page. Of equal links on a page the first counts."""
+    headings = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<h([1-3])[^>]*>(.*?)</h\1>"), F.lit(2))
+    rows = pages.select(page, url, F.posexplode(F.flatten(F.transform(headings, links))).alias("_n", "_l"))
+    found = rows.select(page, url, "_n", canonical_url(resolved(F.col(url), F.col("_l.href"))).alias("link"), F.col("_l.title").alias("title"))
+    own = found.where((F.length("title") >= least) & (url_host(F.col("link")) == url_host(F.col(url))) & ~F.lower("link").rlike("/(author|tag|category|page)/"))
+    first = own.groupBy(page, "link").agg(F.min_by("title", "_n").alias("title"))
+    return first.join(seen.select("link").distinct(), "link", "left_anti").select(page, "link", "title")
