@@ -38,6 +38,12 @@ def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, position, work_id, artist_id, role: programme and credits of one scan."""
+    columns = {"l_orderkey": "event_id", "l_linenumber": "position", "l_partkey": "work_id", "l_suppkey": "artist_id", "l_returnflag": "role"}
+    return table(spark, sf_dir, "lineitem").select(*[F.col(c).alias(name) for c, name in columns.items()])
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """work_id, title, composer, kind."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("composer"), F.col("p_type").alias("kind"))

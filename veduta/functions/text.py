@@ -48,9 +48,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def search_key_unicode(c: Column) -> Column:
-    """For search in any script: keeps letters, digits, ``_``, ``'`` and ``-``."""
-    folded = F.lower(unaccent(ligatures(text_or_empty(c))))
+def search_key_unicode(c: Column, plain: Column | None = None) -> Column:
+    """For search in any script: keeps letters, digits, ``_``, ``'`` and ``-``.
+
+    ``plain``, where it is at hand, is the text without its accents."""
+    folded = F.lower(ligatures(unaccent(text_or_empty(c)) if plain is None else plain))
     for quote in ("‘", "’"):
         folded = F.replace(folded, F.lit(quote), F.lit("'"))
     folded = F.replace(folded, F.lit("ß"), F.lit("ss"))
@@ -63,14 +65,14 @@ def search_key_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
 
 
-def search_key_sql(c: Column) -> Column:
+def search_key_sql(c: Column, plain: Column | None = None) -> Column:
     """Lower-cased, without accents, squeezed; punctuation stays."""
-    return squeeze(F.lower(unaccent(text_or_empty(c))))
+    return squeeze(F.lower(unaccent(text_or_empty(c)) if plain is None else plain))
 
 
-def compact_key(c: Column) -> Column:
+def compact_key(c: Column, plain: Column | None = None) -> Column:
     """a-z and 0-9 only, without spaces."""
-    return F.regexp_replace(F.lower(unaccent(text_or_empty(c))), r"[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(unaccent(text_or_empty(c)) if plain is None else plain), r"[^a-z0-9]+", "")
 
 
 def person_key(c: Column) -> Column:

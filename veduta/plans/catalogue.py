@@ -278,12 +278,16 @@ def schedule_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with its venue, ordered programme and credits (nested joins)."""
-    bill = binding.programme(spark, sf_dir).join(binding.works(spark, sf_dir), "work_id").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("position", "title"))).alias("b"))
-    people = binding.credits(spark, sf_dir).join(binding.artists(spark, sf_dir), "artist_id").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("artist_name", "role"))).alias("p"))
-    bill = bill.select("event_id", F.array_join(F.transform("b", lambda x: F.concat(x["position"], F.lit(":"), x["title"])), ";").alias("bill"))
-    people = people.select("event_id", F.array_join(F.transform("p", lambda x: F.concat(x["artist_name"], F.lit("/"), x["role"])), ";").alias("people"))
+    # Programme and credits are one scan and one grouping of the same rows.
+    lines = binding.bill(spark, sf_dir).join(binding.works(spark, sf_dir).select("work_id", "title"), "work_id", "left").join(binding.artists(spark, sf_dir), "artist_id", "left")
+    entry = F.when(F.col("title").isNotNull(), F.struct("position", "title"))
+    person = F.when(F.col("artist_name").isNotNull(), F.struct("artist_name", "role"))
+    both = lines.groupBy("event_id").agg(F.array_sort(F.collect_list(entry)).alias("b"), F.array_sort(F.collect_list(person)).alias("p"))
+    joined = lambda c, f: F.when(F.size(c) > 0, F.array_join(F.transform(c, f), ";"))
+    bill = joined("b", lambda x: F.concat(x["position"], F.lit(":"), x["title"])).alias("bill")
+    people = joined("p", lambda x: F.concat(x["artist_name"], F.lit("/"), x["role"])).alias("people")
     events = binding.occurrences(spark, sf_dir).join(binding.venues(spark, sf_dir), "venue_id", "left")
-    return events.join(bill, "event_id", "left").join(people, "event_id", "left").select("event_id", "date", "venue", "city", "bill", "people")
+    return events.join(both.select("event_id", bill, people), "event_id", "left").select("event_id", "date", "venue", "city", "bill", "people")
 
 
 @query(

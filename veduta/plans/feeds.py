@@ -125,10 +125,15 @@ def rate_limit_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, user_id % 40 AS code, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id)::BIGINT AS claim, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) <= 10 AS accepted FROM events WHERE event_type = 'signup'",
 )
 def invite_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of invite codes in order; a code is exhausted after ten."""
-    rows = binding.usage(spark, sf_dir).where("event_type = 'signup'").withColumn("code", F.col("user_id") % 40)
-    claim = F.row_number().over(Window.partitionBy("code").orderBy("ts", "event_id")).cast("long")
-    return rows.select("event_id", "code", claim.alias("claim")).withColumn("accepted", F.col("claim") <= 10)
+    """Claims of invite codes in order; a code is exhausted after ten.
+
+    Claims are numbered within a code's days and offset by the days before, so no code is one task's."""
+    rows = binding.usage(spark, sf_dir).where("event_type = 'signup'").select("event_id", "ts", (F.col("user_id") % 40).alias("code"), F.to_date("ts").alias("day"))
+    before = Window.partitionBy("code").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("code", "day").agg(F.count(F.lit(1)).alias("_n")).select("code", "day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("code", "day").orderBy("ts", "event_id"))
+    claims = rows.withColumn("_inside", inside).join(days, ["code", "day"]).select("event_id", "code", (F.col("_before") + F.col("_inside")).alias("claim"))
+    return claims.withColumn("accepted", F.col("claim") <= 10)
 
 
 @query(

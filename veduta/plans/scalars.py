@@ -25,9 +25,10 @@ _PLAIN = "strip_accents(replace(replace(replace(replace(coalesce({c}, ''), 'œ',
 )
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of four search keys of every whole text."""
-    c = F.col("text")
-    keys = {"unicode_key": text.search_key_unicode(c), "ascii_key": text.search_key_ascii(c), "sql_key": text.search_key_sql(c), "compact_key": text.compact_key(c)}
-    return binding.articles(spark, sf_dir).select("doc_id", *[F.md5(k.cast("binary")).alias(n) for n, k in keys.items()])
+    c, plain = F.col("text"), F.col("_plain")
+    # Three of the keys start from the text without accents, which is made once.
+    keys = {"unicode_key": text.search_key_unicode(c, plain), "ascii_key": text.search_key_ascii(c), "sql_key": text.search_key_sql(c, plain), "compact_key": text.compact_key(c, plain)}
+    return binding.articles(spark, sf_dir).select("doc_id", "text", text.unaccent(text.text_or_empty(c)).alias("_plain")).select("doc_id", *[F.md5(k.cast("binary")).alias(n) for n, k in keys.items()])
 
 
 @query(
