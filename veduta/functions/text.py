@@ -148,6 +148,16 @@ def title_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
 
 
+def title_key_compat(c: Column) -> Column:
+    """Title key as older data have it: as ``title_key``, but quotes and life spans go, and number words
+    (numero, no) go wherever a word begins with one, so that ``nocturne`` becomes ``cturne``."""
+    plain = F.lower(unaccent(text_or_empty(c)))
+    plain = F.regexp_replace(plain, _LIFESPAN, " ")
+    plain = F.regexp_replace(plain, r"\[[^\]]*\]|\([^)]*\)|[«»“”\"*+†]", " ")
+    plain = F.regexp_replace(plain, r"\b(?:numero|no\.?)\s*", " ")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
+
+
 def festival_title(c: Column) -> Column:
     """Title key without parentheses that mention a festival or ring."""
     open_ = F.regexp_replace(text_or_empty(c), r"(?i)\([^)]*(?:festival|ring)[^)]*\)", " ")

@@ -320,3 +320,124 @@ def calendar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SUMMARY:"), text.ics_escape(F.concat_ws(", ", "event_type", n.cast("string")))), place, F.lit("END:VEVENT"),
     ]
     return rows.select("event_id", F.concat_ws("\r\n", *parts).alias("entry"))
+
+
+@query(
+    "title_keys_compat",
+    r"""
+    WITH h AS (SELECT doc_id, lower(strip_accents(split_part(coalesce(text, ''), chr(10), 1))) || CASE doc_id % 3 WHEN 0 THEN ' Notturno no. 5' WHEN 1 THEN ' «x» (1685-1750) nocturne' ELSE ' [live] numero 7' END AS t FROM documents)
+    SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '\s*\((ca\.\s*)?\d{3,4}(\s*[-–—]\s*(ca\.\s*)?\d{2,4})?\s*\)', ' ', 'g'), '\[[^\]]*\]|\([^)]*\)|[«»“”"*+†]', ' ', 'g'), '\b(numero|no\.?)\s*', ' ', 'g'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title_key FROM h""",
+)
+def title_keys_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title keys as older data have them, where number words also go at the beginning of longer words."""
+    n = F.col("doc_id")
+    end = F.when(n % 3 == 0, " Notturno no. 5").when(n % 3 == 1, " «x» (1685-1750) nocturne").otherwise(" [live] numero 7")
+    heading = F.concat(F.substring_index(text.text_or_empty(F.col("text")), "\n", 1), end)
+    return binding.articles(spark, sf_dir).select("doc_id", text.title_key_compat(heading).alias("title_key"))
+
+
+_ITEMS = ("Concierto 5", "(arreglo)", "Suite", "violín, piano", "(bis)", "Obertura")
+
+
+@query(
+    "continued_items",
+    f"""
+    WITH l AS (SELECT event_id, position, min({dealt_sql(_ITEMS, 'event_id + position')}) AS t FROM pr GROUP BY ALL), g AS (SELECT *, prefix(t, '(') OR prefix(lower(t), 'violín,') AS more FROM l),
+    s AS (SELECT *, sum(CASE WHEN more THEN 0 ELSE 1 END) OVER (PARTITION BY event_id ORDER BY position) AS item FROM g)
+    SELECT event_id, item::BIGINT AS item, string_agg(t, ' ' ORDER BY position) AS text FROM s WHERE item > 0 GROUP BY event_id, item""",
+    "pr",
+)
+def continued_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a programme with the lines that go on from them; what continues nothing is left out."""
+    line = dealt(_ITEMS, F.col("event_id") + F.col("position"))
+    lines = binding.programme(spark, sf_dir).select("event_id", "position", line.alias("t")).distinct()
+    more = F.col("t").startswith("(") | F.lower("t").startswith("violín,")
+    item = F.sum(F.when(more, 0).otherwise(1)).over(Window.partitionBy("event_id").orderBy("position"))
+    rows = lines.withColumn("item", item).where("item > 0")
+    return rows.groupBy("event_id", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("position", "t")))["t"], " ").alias("text"))
+
+
+@query(
+    "fetch_outcomes",
+    """
+    WITH o AS (SELECT event_id, 'https://h.org/' || (event_id % 300) AS url FROM ev)
+    SELECT event_id, url, CASE WHEN event_id % 300 % 7 > 0 THEN 'body of ' || url ELSE '' END AS body, CASE WHEN event_id % 300 % 7 = 0 THEN 'status 404' END AS error FROM o""",
+    "ev",
+)
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of every distinct page joined to all its occurrences; a page that failed is an empty record
+    with its error, never a lost row."""
+    url = F.concat(F.lit("https://h.org/"), (F.col("event_id") % 300).cast("string"))
+    rows = binding.occurrences(spark, sf_dir).select("event_id", url.alias("url"))
+    once = rows.select("url").distinct()
+    failed = F.substring_index("url", "/", -1).cast("int") % 7 == 0
+    got = once.select("url", F.when(failed, "").otherwise(F.concat(F.lit("body of "), "url")).alias("body"), F.when(failed, "status 404").alias("error"))
+    return rows.join(got, "url", "left").select("event_id", "url", "body", "error")
+
+
+@query(
+    "schedule_html",
+    """
+    WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, '<h3>' || strftime(ts, '%Y-%m-%d') || '</h3><ul>' || string_agg('<li>' || strftime(ts, '%H:%M') || ' ' || event_type || ' &amp; ' || event_id || '</li>', '' ORDER BY ts, event_id) || '</ul>' AS part FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id, CAST(ts AS DATE), strftime(ts, '%Y-%m-%d'))
+    SELECT user_id, string_agg(part, '' ORDER BY day) AS body FROM d GROUP BY user_id""",
+)
+def schedule_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule's mail as HTML: by date, and by time within a date."""
+    rows = binding.usage(spark, sf_dir).where(F.col("event_type").isin("purchase", "signup"))
+    item = F.concat(F.lit("<li>"), F.date_format("ts", "HH:mm"), F.lit(" "), html.escaped(F.concat_ws(" & ", "event_type", F.col("event_id").cast("string"))), F.lit("</li>"))
+    days = rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ts", "event_id", item.alias("t"))))["t"], "").alias("items"))
+    part = F.concat(F.lit("<h3>"), F.col("day").cast("string"), F.lit("</h3><ul>"), "items", F.lit("</ul>"))
+    return days.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("day", part.alias("t"))))["t"], "").alias("body"))
+
+
+@query(
+    "parser_conflicts",
+    """
+    WITH l AS (SELECT event_id, position, (event_id + position) % 3 AS k FROM pr)
+    SELECT event_id, bool_or((k = 0 AND position <= 3) OR (k = 1 AND position > 3)) AS conflict FROM l GROUP BY event_id""",
+    "pr",
+)
+def parser_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which one parser took a line for an artist's and the other for a programme's, or the reverse."""
+    artist = ("artist_candidate", "role_candidate", "cast_candidate", "artistic_team_candidate")
+    programme = ("composer_candidate", "composer_attribution", "work_candidate", "movement_candidate", "programme_heading", "section_heading", "annotation", "freeform_programme")
+    kind = dealt(["work_candidate", "role_candidate", "unknown"], F.col("event_id") + F.col("position"))
+    pages = binding.programme(spark, sf_dir).groupBy("event_id").agg(F.collect_list(F.struct("position", kind.alias("class"), (F.col("position") <= 3).alias("as_artist"))).alias("lines"))
+    conflict = F.exists("lines", lambda x: (x["as_artist"] & x["class"].isin(*programme)) | (~x["as_artist"] & x["class"].isin(*artist)))
+    return pages.select("event_id", conflict.alias("conflict"))
+
+
+@query(
+    "outcome_branches",
+    """
+    WITH s AS (SELECT event_id, status || '/' || event_id // 2 AS key, event_id // 3 AS url, count(*) OVER (PARTITION BY status || '/' || event_id // 2) AS c FROM ev),
+    t AS (SELECT status || '/' || event_id // 2 AS key, count(DISTINCT event_id) AS n, min(event_id) AS id FROM ev WHERE event_id % 4 > 1 GROUP BY 1), u AS (SELECT DISTINCT event_id // 3 AS url FROM ev WHERE event_id % 4 > 1)
+    SELECT s.event_id, CASE WHEN c > 1 THEN 'many_to_one' WHEN t.n > 1 THEN 'one_to_many' WHEN t.n = 1 AND t.id % 5 = 0 THEN 'must_reconcile' WHEN t.n = 1 AND t.id % 7 = 0 THEN 'configuration_error' WHEN t.n = 1 AND s.event_id % 3 = 0 THEN 'blocked' WHEN t.n = 1 THEN 'safe_update'
+           WHEN u.url IS NOT NULL THEN 'url_only' ELSE 'safe_insert' END AS outcome
+    FROM s LEFT JOIN t ON t.key = s.key LEFT JOIN u ON u.url = s.url""",
+    "ev",
+)
+def outcome_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged events by every branch of reconciliation: an identity staged twice or found more than once; of
+    one match a stored row without event key, one that was not loaded, a field that would be downgraded, or
+    an update; without a match an url that is known, for review, or an insert."""
+    n = F.col("event_id")
+    rows = binding.occurrences(spark, sf_dir).select("event_id", F.concat_ws("/", "status", F.expr("cast(event_id div 2 as string)")).alias("key"), F.expr("event_id div 3").alias("url"))
+    stored = rows.where(n % 4 > 1)
+    found = stored.groupBy("key").agg(F.count_distinct("event_id").alias("_n"), F.min("event_id").alias("_id"))
+    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_staged"))
+    known = rows.join(twice, "key").join(found, "key", "left").join(stored.select("url", F.lit(True).alias("_url")).distinct(), "url", "left")
+    one = F.col("_n") == 1
+    outcome = cascade(
+        [
+            (F.col("_staged") > 1, "many_to_one"),
+            (F.col("_n") > 1, "one_to_many"),
+            (one & (F.col("_id") % 5 == 0), "must_reconcile"),
+            (one & (F.col("_id") % 7 == 0), "configuration_error"),
+            (one & (n % 3 == 0), "blocked"),
+            (one, "safe_update"),
+            (F.col("_url"), "url_only"),
+        ],
+        "safe_insert",
+    )
+    return known.select("event_id", outcome.alias("outcome"))

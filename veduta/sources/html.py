@@ -20,6 +20,13 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def escaped(c: Column) -> Column:
+    """Text as markup: the characters that markup uses are written as entities."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
 def links(html: Column) -> Column:
     """array<struct<href, title>> of a page's anchors in order."""
     return F.transform(
