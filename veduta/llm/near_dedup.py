@@ -204,15 +204,13 @@ def linked_within(rows: DataFrame, compare: Callable[[list], np.ndarray]) -> Dat
         return work
 
     def with_hubs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            group = batch["grp"].to_numpy()
-            cut = np.flatnonzero(group[1:] != group[:-1]) + 1
-            for a, b in zip([0, *cut], [*cut, len(batch)], strict=True):
-                hubs = batch["hubs"].iloc[a]
-                ids, payloads = [h["hub"] for h in hubs], [h["payload"] for h in hubs]
-                for k in range(a, b, CHUNK):
-                    part = batch.iloc[k : min(b, k + CHUNK)]
-                    yield _star(np.array([*ids, *part["doc_id"]], np.int64), compare([*payloads, *part["payload"]]))
+        """Every block of a group with the group's hubs, which come first in it."""
+        for block in _groups(batches, ["grp", "_j"]):
+            many = int((block["_hub"] == 0).sum())
+            ids, payloads = block["doc_id"].to_numpy(), block["payload"].tolist()
+            for k in range(many, len(block), CHUNK):
+                end = min(len(block), k + CHUNK)
+                yield _star(np.concatenate([ids[:many], ids[k:end]]), compare([*payloads[:many], *payloads[k:end]]))
 
     edge = "u long, v long"
     small = rows.where("blocks = 1").select("grp", "doc_id", "payload").repartition("grp").sortWithinPartitions("grp", "doc_id")
@@ -225,9 +223,14 @@ def linked_within(rows: DataFrame, compare: Callable[[list], np.ndarray]) -> Dat
     # Hubs: the members least by several hashes, so that one odd member doesn't decide.
     chosen = [F.min(F.struct(F.xxhash64(F.lit(i), "doc_id").alias("h"), "doc_id"))["doc_id"] for i in range(HUBS)]
     hubs = thin.groupBy("grp").agg(F.array_distinct(F.array(*chosen)).alias("hubs")).select("grp", F.explode("hubs").alias("doc_id"))
+    # Hubs go to each block of their group once, not with each member.
+    spread = lambda n: F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     texts = large.join(hubs, ["grp", "doc_id"], "left_semi").dropDuplicates(["grp", "doc_id"])
-    listed = texts.groupBy("grp", F.pmod("grp", F.lit(1)).alias("_z")).agg(F.collect_list(F.struct(F.col("doc_id").alias("hub"), "payload")).alias("hubs")).drop("_z")
-    stars = stored(large.select("grp", "doc_id", "payload").join(listed, "grp").mapInPandas(with_hubs, edge).distinct())
+    first = texts.select("grp", each("blocks").alias("_j"), F.lit(0).alias("_hub"), "doc_id", "payload")
+    blocks = first.unionByName(large.select("grp", spread(F.col("blocks")).alias("_j"), F.lit(1).alias("_hub"), "doc_id", "payload"))
+    sorted_blocks = blocks.repartition("grp", "_j").sortWithinPartitions("grp", "_j", "_hub", "doc_id")
+    stars = stored(sorted_blocks.mapInPandas(with_hubs, edge).distinct())
 
     # What no chain of links has brought into its group's largest component so far.
     labels = thin.join(components(stars), F.col("doc_id") == F.col("node"), "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("component"))
@@ -235,8 +238,6 @@ def linked_within(rows: DataFrame, compare: Callable[[list], np.ndarray]) -> Dat
     largest = counts.groupBy("grp", F.pmod("grp", F.lit(1)).alias("_z")).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("m"), F.max("n").alias("n")).drop("_z")
     left = largest.where("m > n").select("grp", "main", F.ceil((F.col("m") - F.col("n")) / BLOCK).cast("int").alias("lefts"))
     placed = labels.join(left, "grp")
-    spread = lambda n: F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = placed.where("component != main").select("grp", "doc_id", spread(F.col("lefts")).alias("_i"), each("blocks").alias("_j"))
     every = placed.select("grp", "doc_id", spread(F.col("blocks")).alias("_j"), each("lefts").alias("_i"))
     pairs = one.unionByName(every).distinct().join(large.select("grp", "doc_id", "payload"), ["grp", "doc_id"])
