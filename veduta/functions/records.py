@@ -27,3 +27,15 @@ def fenced_json(answer: Column, fallback: Column, field: str) -> Column:
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```json", ""), r"```$", ""))
     value = F.trim(F.get_json_object(plain, f"$.{field}"))
     return F.coalesce(F.when(value != "", value), fallback)
+
+
+def first_value(record: Column, *keys: str) -> Column:
+    """The first value that is not empty under ``keys`` of a JSON record, and then of its ``raw_data``."""
+    found = [F.get_json_object(record, f"$.{path}{k}") for path in ("", "raw_data.") for k in keys]
+    return F.coalesce(*[F.when(~v.isin("", "{}"), v) for v in found])
+
+
+def json_object(record: Column, key: str) -> Column:
+    """The object under ``key`` of a JSON record if it has any field, else that of its ``raw_data``, else
+    an empty one."""
+    return F.coalesce(first_value(record, key), F.lit("{}"))

@@ -86,3 +86,11 @@ def anchored_sizes(sorted_values: Column, gap: float) -> Column:
 def anchored_groups(sorted_values: Column, gap: float) -> Column:
     """Group number of every value of a sorted array, by ``anchored_sizes``."""
     return F.flatten(F.transform(anchored_sizes(sorted_values, gap), lambda n, i: F.array_repeat(i, n)))
+
+
+def most_common(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """One row per key: its most common ``value``, of equally common ones the one seen first by ``order``,
+    and ``rows``, the number of its rows. Two aggregations, both combined before their exchange."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("first"), F.col(value).alias("value")))
+    return counts.groupBy(key).agg(best["value"].alias(value), F.sum("_n").alias("rows"))

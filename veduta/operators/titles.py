@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veduta.functions.text import search_key_ascii, text_or_empty
-from veduta.operators.rules import cascade
+from veduta.operators.rules import cascade, contains_any
 
 #: Words that join the parts of a name, and separators of programmes.
 NAME_JOINTS = ("de", "del", "da", "do", "di", "van", "von", "y", "la")
@@ -68,3 +68,17 @@ def debris_reason(c: Column) -> Column:
         ],
         F.lit(None).cast("string"),
     )
+
+
+#: Productions by the words of a title's key that tell them, in order of precedence.
+PRODUCTIONS = (
+    ("figaro", ("figaro", "marriage")), ("barbiere", ("barbero", "barbiere")), ("manon", ("manon",)), ("blood", ("blood wedding", "bodas de sangre")), ("matthew", ("matthew", "pasion")),
+    ("richard", ("richard", "riccardo")), ("john", ("saint john", "san giovanni")), ("bluebeard", ("bluebeard", "barbazul")), ("messiah", ("messiah", "mesias")), ("bayreuth", ("bayreuth",)),
+    ("chamber", ("chamber music", "domingos de camara")),
+)
+
+
+def production_group(c: Column) -> Column:
+    """The production that a title names, or its key without spaces."""
+    key = search_key_ascii(c)
+    return cascade([(contains_any(key, *words), name) for name, words in PRODUCTIONS], group_key(c))

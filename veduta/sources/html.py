@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veduta.functions.urls import canonical_url, resolved, url_host
+from veduta.functions.urls import canonical_url, country_of, country_of_language, resolved, url_host
 
 _LINK = r"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 #: The entities that plain text needs.
@@ -77,3 +77,19 @@ def heading_links(pages: DataFrame, page: str, url: str, html: str, seen: DataFr
     own = found.where((F.length("title") >= least) & (url_host(F.col("link")) == url_host(F.col(url))) & ~F.lower("link").rlike("/(author|tag|category|page)/"))
     first = own.groupBy(page, "link").agg(F.min_by("title", "_n").alias("title"))
     return first.join(seen.select("link").distinct(), "link", "left_anti").select(page, "link", "title")
+
+
+def discovered(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
+    """page, source_url, kind, country: a feed document is ``rss``, and so is a page that names one, whose
+    url then counts; any other page is a ``website``. The country is told by the url's domain, or else by
+    the page's language."""
+    c, own = F.col(html), canonical_url(F.col(url))
+    sample = F.lower(F.substring(html, 1, 800))
+    feed = sample.contains("<rss") | sample.contains("<feed")
+    link = F.regexp_extract(c, r'(?i)<link[^>]*rel="alternate"[^>]*type="application/(?:rss|atom)\+xml"[^>]*href="([^"]*)"', 1)
+    named = F.when(~feed & (link != ""), canonical_url(resolved(F.col(url), link)))
+    by_domain = country_of(F.col(url))
+    language = F.regexp_extract(c, r'(?i)<html[^>]*\slang="([^"]*)"', 1)
+    country = F.when(by_domain != "other", by_domain).otherwise(country_of_language(language))
+    kind = F.when(feed | named.isNotNull(), "rss").otherwise("website")
+    return pages.select(page, F.coalesce(named, own).alias("source_url"), kind.alias("kind"), country.alias("country"))
