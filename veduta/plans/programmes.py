@@ -13,22 +13,22 @@ from veduta.plans.vocabulary import dealt, dealt_sql, values_sql
 
 #: Pages by title and structure; of every line its block and its class, worked out by hand from the rules.
 _PAGES = (
-    ("OCNE. Sinfónico 04", "SEPARATE_ARTIST_PROGRAMME_BLOCKS", (
-        (0, "Orquesta Nacional", "artist_candidate"), (0, "David Afkham, director", "artist_candidate"), (1, "Gustav Mahler", "composer_candidate"), (1, "Titan", "work_candidate"),
+    ("Ciclo sinfónico 4", "SEPARATE_ARTIST_PROGRAMME_BLOCKS", (
+        (0, "Orquesta Nacional", "artist_candidate"), (0, "Marta Gil, director", "artist_candidate"), (1, "Gustav Mahler", "composer_candidate"), (1, "Titan", "work_candidate"),
         (1, "I. Langsam", "composer_candidate"), (1, "Johannes Brahms", "work_candidate"), (1, "Obertura trágica", "work_candidate"))),
     ("Recital", "ARTIST_ROLE_ALTERNATING", (
         (0, "Anna Roe", "artist_candidate"), (0, "piano", "role_candidate"), (0, "John Doe", "artist_candidate"), (0, "violín", "role_candidate"),
         (0, "Ludwig van Beethoven", "composer_candidate"), (0, "Sonata op. 5", "work_candidate"), (0, "Allegro", "movement_candidate"))),
-    ("Excelentia. Ópera: IL Trovatore", "CAST_OR_STAGED_WORK", (
+    ("Noche de ópera: Il trovatore", "CAST_OR_STAGED_WORK", (
         (0, "Leonora – Maria Pia", "cast_candidate"), (0, "Movimiento escénico – Juan Sanz", "artistic_team_candidate"), (0, "Giuseppe Verdi (1813–1901)", "composer_candidate"),
         (0, "Il trovatore", "work_candidate"), (0, "PAUSA", "section_heading"))),
     ("Programa de mano", "PROGRAMME_MARKER_MIXED_BLOCK", (
         (0, "Programa:", "programme_heading"), (0, "BACH Suite francesa", "work_candidate"), (0, "W. A. Mozart: Concierto 21", "work_candidate"), (0, "Obras de varios autores", "annotation"),
         (0, "*Estreno absoluto", "annotation"), (0, "II", "section_heading"))),
-    ("Film Symphony Orchestra. Odisea", "FREEFORM_PROGRAMME", (
-        (0, "Film Symphony Orchestra", "artist_candidate"), (0, "Constantino Martínez-Orts, dirección", "artist_candidate"), (0, "Star Wars", "freeform_programme"), (0, '"E.T."', "section_heading"))),
-    ("CNDM. Barbara Hannigan", "STATUS_NOTICE_PLUS_CONTENT", (
-        (0, "Concierto aplazado", "status_notice"), (0, "al 3 de mayo", "status_notice"), (0, "Barbara Hannigan, soprano", "artist_candidate"), (0, "Variaciones", "artist_candidate"),
+    ("Red Bull Symphonic 2031", "FREEFORM_PROGRAMME", (
+        (0, "Orchestra Nova", "artist_candidate"), (0, "Pau Roca-Vidal, dirección", "artist_candidate"), (0, "Star Wars", "freeform_programme"), (0, '"E.T."', "section_heading"))),
+    ("Aula de cámara", "STATUS_NOTICE_PLUS_CONTENT", (
+        (0, "Concierto aplazado", "status_notice"), (0, "al 3 de mayo", "status_notice"), (0, "Clara Roe, soprano", "artist_candidate"), (0, "Variaciones", "artist_candidate"),
         (0, "J. S. Bach variaciones", "work_candidate"), (0, "sobre un tema", "work_candidate"))),
     ("Ciclo", "COMPOSER_LIFESPAN_SEQUENCE", (
         (0, "Tradicional de Galicia/Juan Pérez (1950)", "composer_attribution"), (0, "Clara Schumann (1819-1896)", "composer_candidate"), (0, "Tres romanzas", "work_candidate"),

@@ -275,6 +275,6 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = F.concat(F.lit("https://h"), n.cast("string"), F.lit(".org/feed"))
     host = F.regexp_extract(feed, "//([^/]*)", 1)
     error = F.substring(F.replace(F.concat(F.lit("redacted SECRET for "), "s_name"), F.lit("SECRET"), F.lit("[key]")), 1, 30)
-    kind, country = F.when(n % 2 == 0, "wechat"), F.when(n % 9 == 0, "cn").otherwise("de")
-    special = F.coalesce(kind == "wechat", F.lit(False)) | (country == "cn")
+    kind, country = F.when(n % 2 == 0, "letters"), F.when(n % 9 == 0, "cn").otherwise("de")
+    special = F.coalesce(kind == "letters", F.lit(False)) | (country == "cn")
     return binding.table(spark, sf_dir, "supplier").select(n.alias("source_id"), short_digest(feed).alias("id"), first_non_empty(F.when(n % 3 > 0, F.col("s_name")), host).alias("name"), error.alias("error"), special.alias("special"))

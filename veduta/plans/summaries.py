@@ -206,7 +206,7 @@ _TITLES = (
     ("Segunda parte", 0, "programme_separator", "programme_separator", "segundaparte"),
     ("II. Allegro con brio", 0, "movement_or_numbered_fragment", "movement_or_numbered_fragment", "iiallegroconbrio"),
     ("3. Suite BWV 1008", 1, "artist_or_attribution_name", None, "3suitebwv1008"),
-    ("OCNE", 1, "artist_or_attribution_name", "ensemble_or_acronym", "ocne"),
+    ("ABCD", 1, "artist_or_attribution_name", "ensemble_or_acronym", "abcd"),
     ("a", 0, "empty_or_too_short", "empty_or_too_short", "a"),
     ("Sinfonía nº 5 en do menor", 0, None, None, "sinfoniano5endomenor"),
     ("la Bella de Cádiz", 1, "artist_or_attribution_name", None, "labelladecadiz"),
