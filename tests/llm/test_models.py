@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.llm.data import edge_docs, no_docs
 from veduta.llm import language_id, quality, toxicity
-from veduta.llm.html_extraction import SURGE, WINDOW, extract_pages, line_weights, main_text, text_between
+from veduta.llm.html_extraction import SURGE, WINDOW, extract_pages, line_weights, main_text, page_lines, text_between
 from veduta.llm.language_id import identify_languages
 from veduta.llm.quality import score_quality, term_counts
 from veduta.llm.queries import QUERIES
@@ -262,20 +262,17 @@ def plain_windows(weight):
 def test_windows_of_pages_without_containers_by_brute_force():
     r = random.Random(5)
     for _ in range(300):
-        parts, lines = [], []
+        parts = []
         for _ in range(r.randrange(12)):
             kind, n = r.choice(["p", "menu", "gap"]), r.choice([3, 20, 60, 90])
             if kind == "p":
                 parts.append(f"<p>{'x' * n}</p>")
-                lines.append(("x" * n, False, False))
             elif kind == "menu":
                 many = r.randrange(1, 5)
                 parts.append("".join(f"<div><a href=/>{'m' * n}</a></div>" for _ in range(many)))
             else:
                 parts.append("<section></section>" * 4)
         page = "".join(parts)
-        from veduta.llm.html_extraction import page_lines
-
         lines = page_lines(page)
         weight = line_weights(lines)
         assert all((w == 0) == (not t or link and w == 0) for w, (t, link, _) in zip(weight, lines, strict=True))

@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veduta.llm.components import components
@@ -208,9 +208,9 @@ def linked_within(rows: DataFrame, compare: Callable[[list], np.ndarray]) -> Dat
         for block in _groups(batches, ["grp", "_j"]):
             many = int((block["_hub"] == 0).sum())
             ids, payloads = block["doc_id"].to_numpy(), block["payload"].tolist()
-            for k in range(many, len(block), CHUNK):
-                end = min(len(block), k + CHUNK)
-                yield _star(np.concatenate([ids[:many], ids[k:end]]), compare([*payloads[:many], *payloads[k:end]]))
+            cuts = np.linspace(many, len(block), max(1, round((len(block) - many) / CHUNK)) + 1).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield _star(np.concatenate([ids[:many], ids[a:b]]), compare([*payloads[:many], *payloads[a:b]]))
 
     edge = "u long, v long"
     small = rows.where("blocks = 1").select("grp", "doc_id", "payload").repartition("grp").sortWithinPartitions("grp", "doc_id")
