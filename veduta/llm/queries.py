@@ -17,6 +17,7 @@ from veduta.llm.sharding import shard_documents
 from veduta.llm.tables import table
 from veduta.llm.toxicity import score_toxicity
 from veduta.llm.url_filters import judge_urls
+from veduta.llm.whitening import whiten
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op13_whitening": op13_whitening,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
