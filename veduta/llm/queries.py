@@ -9,6 +9,7 @@ from veduta.llm.decontamination import contaminated
 from veduta.llm.exact_dedup import exact_duplicates
 from veduta.llm.html_extraction import extract_pages
 from veduta.llm.language_id import identify_languages
+from veduta.llm.lexical_search import rank_documents
 from veduta.llm.mixing import mix_documents
 from veduta.llm.near_dedup import near_duplicates
 from veduta.llm.quality import score_quality
@@ -62,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -77,10 +82,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
     "op13_whitening": op13_whitening,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES = {
     "op5_near_dedup": f"""
@@ -105,6 +112,23 @@ ORACLES = {
         ), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
         SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept
         FROM m LEFT JOIN n ON m.doc_id = n.doc_id""",
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+        c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+        p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+        i AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+        w AS (
+          SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+          FROM p CROSS JOIN c WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs
+        ), m AS (SELECT r, doc_id, 75 + (25 * len(ts)::BIGINT * n_docs) // n_terms AS m FROM d CROSS JOIN c),
+        s AS (
+          SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id
+        ), k AS (
+          SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank, doc_id, score
+          FROM s WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents)
         SELECT doc_id,
