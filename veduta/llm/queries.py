@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veduta.llm.decontamination import contaminated
 from veduta.llm.exact_dedup import exact_duplicates
+from veduta.llm.fingerprints import fingerprint_documents
 from veduta.llm.html_extraction import extract_pages
 from veduta.llm.language_id import identify_languages
 from veduta.llm.lexical_search import rank_documents
@@ -67,6 +68,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op12_fingerprints": op12_fingerprints,
     "op13_whitening": op13_whitening,
 }
 
