@@ -39,6 +39,8 @@ CHAIN, DISTANCE = 2, 1
 LEAST = 0.75
 #: Bytes of text of one range of ids.
 RANGE_BYTES = 256 << 20
+#: Most first keys of ranges that are broadcast (under 100 bytes each).
+GUARDS = 500_000
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -251,6 +253,7 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     heads = sorted((r["at"], r["k"]["doc_id"], r["k"]["h"]) for r in first.collect()) if total["n"] else []
     before = [(heads[i - 1][0], *heads[i][1:]) for i in range(len(heads))]
     guards = spark.createDataFrame(before, f"range int, guard_id {kind}, guard_h long")
+    guards = F.broadcast(guards) if len(before) <= GUARDS else guards  # else texts are shuffled a second time
     found = keyed.join(guards, F.col("doc_id").eqNullSafe(F.col("guard_id")) & (F.col("h") == F.col("guard_h"))).groupBy("range", "doc_id", "h").agg(F.first("text").alias("text"))
     every = keyed.select(at.alias("range"), "doc_id", "h", "text", F.lit(False).alias("guard")).unionByName(found.withColumn("guard", F.lit(True)))
     window = Window.partitionBy("range").orderBy("guard", F.col("doc_id").asc_nulls_last(), "h", "text")
