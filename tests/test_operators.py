@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from veduta.operators import merge
 from veduta.operators.dedup import pick_best, unique_match
 from veduta.operators.line_classes import classify_lines, split_lines
-from veduta.operators.matching import match_steps, similar_names, tier_score
+from veduta.operators.matching import candidate_names, match_steps, meeting_keys, positional_runs, rarest_first, similar_names, tier_score
 from veduta.operators.reconcile import collision_guard, field_plan, reconcile, same_value, worst_rank
 from veduta.operators.rules import canonical_event_type
 from veduta.operators.sequences import anchored_groups, carry_forward, round_robin, running_budget
@@ -119,6 +122,42 @@ def test_matching_is_unique_or_review(spark):
     assert rows(unique_match(exact, ["candidate"], "id").select("candidate", "matches")) == [(1, 1), (2, 2)]
 
 
+def _names(n, seed, length=(1, 24), letters="abcdefghij klmnop-é"):
+    r = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        name = "".join(r.choice(letters) for _ in range(r.randint(*length))).strip()
+        out.add(name)
+        edited = list(name)
+        for _ in range(r.randint(0, 4)):  # near copies, so that similar pairs exist at every level
+            k = r.randrange(len(edited) + 1)
+            edited[k : k + r.randint(0, 1)] = r.choice(["", "a", "zz"])
+        out.add("".join(edited).strip())
+    return sorted(x for x in out if x)
+
+
+@pytest.mark.parametrize("least", [0.6, 0.7, 0.78, 0.86, 0.95, 1.0])
+def test_candidate_names_miss_no_pair(spark, least):
+    names = _names(220, int(least * 100))
+    df = spark.createDataFrame([(n,) for n in [*names, "", *names[:9]]], "name string")
+    got = {(r["_a"], r["_b"]) for r in candidate_names(df, df, "name", least).collect()}
+    similar = {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= least}
+    assert similar <= got
+    assert len(got) < (0.9 if least < 0.7 else 0.12) * len(names) ** 2
+
+
+def test_candidate_names_are_few_and_keys_are_small(spark):
+    """100,000 names of common syllables: candidates below 1 % of all pairs, no key over 1 % of rows."""
+    syllables = F.array(*[F.lit(a + b) for a in "bcdfglmnprstvz" for b in ("a", "e", "i", "on", "u")])
+    part = lambda k: F.get(syllables, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(70)).cast("int"))
+    names = spark.range(100_000).select(F.concat(*[F.lit(" ") if k == 3 else part(k) for k in range(7)]).alias("name"))
+    assert candidate_names(names, names, "name", 0.86).count() < 0.01 * 1e10
+    runs = positional_runs(names, "name")
+    keys = meeting_keys(names.join(rarest_first(runs, "name", runs.groupBy("q", "run").count().withColumnRenamed("count", "n")), "name"), "name", 0.86, True)
+    total, most = keys.groupBy("grp").count().agg(F.sum("count"), F.max("count")).first()
+    assert most <= 0.01 * total
+
+
 def test_similar_names_blocks_losslessly(spark):
     from difflib import SequenceMatcher
 

@@ -113,38 +113,93 @@ def common_run(least: float, longest: int = 400) -> int:
     return found
 
 
-def _grams(c: Column, q: int) -> Column:
-    """Distinct runs of ``q`` characters; a shorter name is its own."""
-    many = F.greatest(F.length(c) - q, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), many + 1), lambda i: F.substring(c, i, F.lit(q))))
+#: Lengths of the runs of characters in which names meet, the most selective first, and the parts into
+#: which names are dealt that can only meet by their lengths.
+RUNS, PARTS = (3, 2), 32
+
+
+def _shared_rule(n: Column, m: Column, least: float) -> dict[str, Column]:
+    """What two names of lengths ``n`` and ``m`` and similarity ``least`` must share.
+
+    M matching characters are a common subsequence, so at least ``common`` = least (n + m) / 2 characters
+    stay in order and the others are ``lost``. One that is lost destroys q runs of q characters of its own name
+    and parts q - 1 runs of the other, so ``kept`` runs are in both; ``q`` is the longest run that leaves one
+    (0: none does), and a run that stays moves by ``shift`` places at the most."""
+    common = F.ceil(least * (n + m) / 2 - 1e-9).cast("int")
+    lost = n + m - 2 * common
+    kept = {q: common - (q - 1) * lost - q + 1 for q in RUNS}
+    q = cascade([(kept[q] >= 1, F.lit(q)) for q in RUNS], F.lit(0))
+    return {"common": common, "q": q, "kept": cascade([(q == r, kept[r]) for r in RUNS], F.lit(0)), "shift": F.greatest(n, m) - common}
+
+
+def positional_runs(names: DataFrame, key: str) -> DataFrame:
+    """(key, q, run, at): all runs of the lengths RUNS of distinct names, with their places."""
+    each = None
+    for q in RUNS:
+        at = F.explode(F.sequence(F.lit(1), F.length(key) - q + 1)).alias("at")
+        one = names.where(F.length(key) >= q).select(key, F.lit(q).alias("q"), at).withColumn("run", F.substring(F.col(key), F.col("at"), F.lit(q)))
+        each = one if each is None else each.unionByName(one)
+    assert each is not None
+    return each.select(key, "q", "run", "at")
+
+
+def rarest_first(runs: DataFrame, key: str, often: DataFrame) -> DataFrame:
+    """(key, q2, q3, ...): per name its runs of each length by frequency, run and place."""
+    ranked = runs.join(often, ["q", "run"]).groupBy(key, "q").agg(F.sort_array(F.collect_list(F.struct("n", "run", "at"))).alias("_r"))
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("q") == q, F.col("_r"))).alias(f"q{q}") for q in RUNS])
+
+
+def meeting_keys(ranked: DataFrame, key: str, least: float, left: bool) -> DataFrame:
+    """(key, grp, at, shift): the keys in which a name meets names of each length that it may be like.
+
+    Of the runs in both names the rarest is among the first of either name that exceed by one the runs which
+    may be missing, so only these are keys, one set for each length of the other name. Lengths that
+    ensure no common run are keys themselves, dealt to PARTS on the left and repeated on the right."""
+    n, share = F.length(key), least / (2 - least)
+    lengths = F.sequence(F.greatest(F.ceil(n * share - 1e-9), F.lit(1)).cast("int"), F.floor(n / share + 1e-9).cast("int"))
+    rows = ranked.withColumn("_m", F.explode(lengths))
+    rule = _shared_rule(n, F.col("_m"), least)
+    pair = (n, F.col("_m")) if left else (F.col("_m"), n)
+    rows = rows.select("*", *[c.alias(f"_{name}") for name, c in rule.items()]).where(F.col("_common") <= F.least(n, F.col("_m")))
+    own = cascade([(F.col("_q") == q, F.col(f"q{q}")) for q in RUNS], F.lit(None))
+    by_run = rows.where("_q > 0").withColumn("_e", F.explode(F.slice(own, F.lit(1), n - F.col("_q") + 1 - F.col("_kept") + 1)))
+    grp = lambda run: F.struct(*[c.cast("int").alias(name) for c, name in zip(pair, "nm", strict=True)], "_q", run.alias("run")).alias("grp")
+    by_run = by_run.select(key, grp(F.col("_e.run")), F.col("_e.at").alias("at"), F.col("_shift").alias("shift"))
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int") if left else F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    by_length = rows.where("_q = 0").withColumn("_part", part)
+    return by_run.unionByName(by_length.select(key, grp(F.col("_part").cast("string")), F.lit(0).alias("at"), F.lit(0).alias("shift")))
+
+
+def candidate_names(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """(_a, _b): distinct pairs of names that may have a similarity of ``least`` or more; none is missed.
+
+    Every name is looked at once, however many rows have it. Names meet in their rarest runs of
+    characters, at nearly the same place, by exact lengths; then the letters they have in common, counted once
+    a name, must be enough."""
+    sides = {c: df.select(F.col(key).alias(c)).where(f"{c} != ''").distinct() for c, df in (("_a", left), ("_b", right))}
+    runs = {c: positional_runs(names, c) for c, names in sides.items()}
+    often = runs["_a"].select("q", "run").unionByName(runs["_b"].select("q", "run")).groupBy("q", "run").agg(F.count(F.lit(1)).alias("n"))
+    keys = {c: meeting_keys(names.join(rarest_first(runs[c], c, often), c, "left"), c, least, c == "_a") for c, names in sides.items()}
+    met = keys["_a"].join(keys["_b"].select("_b", "grp", F.col("at").alias("_at")), "grp").where(F.abs(F.col("at") - F.col("_at")) <= F.col("shift"))
+    counted = {c: names.select(c, _letter_counts(F.col(c)).alias(f"{c}n"), F.length(F.regexp_replace(c, "[a-z]", "")).alias(f"{c}o")) for c, names in sides.items()}
+    pairs = met.select("_a", "_b").distinct().join(counted["_a"], "_a").join(counted["_b"], "_b")
+    common = F.aggregate(F.zip_with("_an", "_bn", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return pairs.where(2.0 * (common + F.least("_ao", "_bo")) >= least * (F.length("_a") + F.length("_b")) - 1e-9).select("_a", "_b")
 
 
 def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, least: float, top: int) -> DataFrame:
     """(left_id, right_id, score, rank): for every left key its ``top`` right keys of similarity
-    2M / (|a| + |b|) at ``least`` or more (M: characters in matching blocks).
-
-    Blocked losslessly. Where the threshold ensures a run of two characters or more that both names
-    share (``common_run``; 2 at 0.86, 3 at 0.9), names meet in such runs. Below that they meet in lengths: such a
-    ratio needs min length >= least / (2 - least) * max length; that is for vocabularies, as pairs grow
-    with the square of the names of a length. In both cases common letters, counted once a name, bound
-    M from above before Python compares a pair."""
-    share = least / (2 - least)
-    side = lambda df, i, k: df.select(F.col(i), F.col(key).alias(k)).where(f"{k} != ''").dropDuplicates().withColumn(f"{k}n", _letter_counts(F.col(k))).withColumn(f"{k}o", F.length(F.regexp_replace(k, "[a-z]", "")))
-    a, b = side(left, left_id, "_a"), side(right, right_id, "_b")
-    n, m = F.length("_a"), F.length("_b")
-    if (q := common_run(least)) >= 2:
-        pairs = a.withColumn("_k", F.explode(_grams(F.col("_a"), q))).join(b.withColumn("_k", F.explode(_grams(F.col("_b"), q))), "_k")
-        pairs = pairs.where(F.least(n, m) >= share * F.greatest(n, m) - 1e-9)
-    else:
-        band = F.explode(F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))).alias("_k")
-        pairs = a.select("*", band).join(b.withColumn("_k", m), "_k")
-    common = F.aggregate(F.zip_with("_an", "_bn", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = pairs.where(2.0 * (common + F.least("_ao", "_bo")) >= least * (n + m)).select(left_id, right_id, "_a", "_b")
-    if q >= 2:
-        pairs = pairs.distinct()
+    2M / (|a| + |b|) at ``least`` or more (M: characters in matching blocks), equal scores by right_id.
+
+    ``candidate_names`` gives the pairs to compare, without loss. From a similarity of about 0.7 a
+    common run is certain and candidates are few; below, names meet by length alone, which is for
+    vocabularies, as pairs then grow with the square of the names of a length."""
+    pairs = candidate_names(left, right, key, least)
     scored = pairs.withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= least)
+    rows = lambda df, i, c: df.select(F.col(i).alias(f"{c}i"), F.col(key).alias(c)).where(f"{c} != ''").distinct()
+    named = scored.join(rows(left, left_id, "_a"), "_a").join(rows(right, right_id, "_b"), "_b").select(F.col("_ai").alias(left_id), F.col("_bi").alias(right_id), "score")
     order = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(left_id, right_id, "score", "rank")
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def tier_score(value: Column, needle: Column) -> Column:

@@ -73,7 +73,8 @@ def programme_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and pages by class, and composers' lines that may be something else."""
-    rows = _classified(spark, sf_dir).select("page", "class", ((F.col("class") == "composer_candidate") & L.composer_risk(F.col("text"))).alias("risk"))
+    rows, f = L.with_features(_classified(spark, sf_dir), "text", "cast", "risk")
+    rows = rows.select("page", "class", ((F.col("class") == "composer_candidate") & f["risk"]).alias("risk"))
     by_page = rows.groupBy("class", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if("risk").alias("r"))
     by_class = by_page.groupBy("class").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("pages"), F.sum("r").alias("risky"))
     whole = by_class.agg(F.sum("lines").alias("_all"))
@@ -125,6 +126,43 @@ _SIGNAL_COLUMNS = ("role", "suffix", "work", "composer", "artist", "ensemble", "
 )
 def line_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight predicates of lines."""
-    t = dealt([s[0] for s in _SIGNALS], F.col("event_id"))
-    tests = (L.is_role(t), L.has_role_suffix(t), L.work_signal(t), L.composer_signal(t), L.artist_signal(t), L.ensemble_signal(t), L.cast_line(t), L.person_like(t))
-    return binding.occurrences(spark, sf_dir).select("event_id", *[F.coalesce(x, F.lit(False)).alias(c) for x, c in zip(tests, _SIGNAL_COLUMNS, strict=True)])
+    rows = binding.occurrences(spark, sf_dir).select("event_id", dealt([s[0] for s in _SIGNALS], F.col("event_id")).alias("text"))
+    rows, f = L.with_features(rows, "text", "artist", "cast")
+    return rows.select("event_id", *[f["cast" if c == "actor" else c].alias(c) for c in _SIGNAL_COLUMNS])
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, title, block, line, text: a conversation is a page, its turns are blocks, cut at full stops and line ends;
+    the first turn's beginning is the title."""
+    said = binding.lines(spark, sf_dir).select("page", F.col("line_no").alias("block"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.\n]+")).alias("line", "text"))
+    first = binding.lines(spark, sf_dir).groupBy("page").agg(F.substring(F.min_by("text", "line_no"), 1, 20).alias("title"))
+    return said.withColumn("text", F.trim("text")).join(first, "page")
+
+
+_JOINTS = ", ".join(f"'{j}'" for j in L.NAME_JOINTS)
+
+
+@query(
+    "spoken_line_features",
+    f"""
+    WITH s AS (SELECT page, line_no AS block, unnest(regexp_split_to_array(coalesce(text, ''), '[.\\n]+')) AS raw, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.\\n]+'), 1) - 1 AS line FROM li),
+    t AS (SELECT page, block, line, trim(raw) AS text, regexp_extract_all(trim(raw), '[A-Za-zÀ-ÿ.’''-]+') AS ws FROM s)
+    SELECT page, block, line::INTEGER AS line,
+           NOT regexp_matches(text, '\\p{{Nd}}') AND len(ws) BETWEEN 1 AND 6 AND len(list_filter(ws, lambda w: NOT (trim(lower(w), '.') IN ({_JOINTS}) OR regexp_matches(w, '^\\p{{Lu}}')))) = 0 AS person,
+           regexp_matches(trim(text), '^[ivxlcdmIVXLCDM]+$') AS numeral,
+           len(regexp_split_to_array(trim(text), '\\s+')) <= 8 AS brief,
+           regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AND len(regexp_split_to_array(trim(text), '\\s+')) <= 6 AS capitals
+    FROM t""",
+    "li",
+)
+def spoken_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every sentence of the conversations says of itself, worked out once for each distinct one."""
+    lines = _spoken(spark, sf_dir).drop("title")
+    names = ("person", "numeral", "brief", "capitals")
+    return lines.join(L.features_of(lines, "text", *names), "text").select("page", "block", "line", *[F.col(f"_{n}").alias(n) for n in names])
+
+
+@query("spoken_line_classes")
+def spoken_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every sentence of every conversation, read as a programme page."""
+    return classify_programme(_spoken(spark, sf_dir), "page", "block", "line", "text", "title").select("page", "block", "line", "class")
