@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veduta.operators.merge import insert_ignore, swap_table
-from veduta.streaming import incremental
+from veduta.streaming import incremental, stateful
 
 
 def run(df, name, mode="append"):
@@ -51,3 +51,42 @@ def test_merge_sink_is_idempotent(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert spark.read.parquet(path).count() == 40
+
+
+def machine_input(spark):
+    rows = [(i % 7, i, f"2024-01-0{1 + i * 37 % 9} {i * 5 % 24:02d}:{i * 11 % 60:02d}:00", ("queued", "in_progress", "completed", "failed", "in_progress")[i * 3 % 5]) for i in range(120)]
+    return spark.createDataFrame(rows, "user long, id long, t string, action string").select("user", "id", F.to_timestamp("t").alias("ts"), "action")
+
+
+def walked(rows, machine):
+    """The machine stepped through all rows in order, in plain Python: last state by user."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+        micros, state = int(r["ts"].timestamp()) * 1_000_000, out.get(r["user"], machine.start)
+        limit = machine.deadline(state)
+        if limit is not None and limit < micros:
+            state = machine.expire(state)
+        out[r["user"]] = machine.step(state, micros, r["id"], r["action"])
+    return {u: machine.expire(s) if machine.deadline(s) is not None else s for u, s in out.items()}
+
+
+def test_machines_do_not_depend_on_batches_or_restarts(spark, tmp_path):
+    """Rows arrive out of order in several files and runs; the second run goes on from the first one's checkpoint."""
+    rows = machine_input(spark)
+    want = walked(rows.collect(), stateful.Jobs(12))
+    assert any(s[3] for s in want.values()) and any(s[4] for s in want.values())
+    for cut in (1, 3):
+        source, path = str(tmp_path / f"in{cut}"), str(tmp_path / f"run{cut}")
+        rows.where(F.col("id") % cut == 0).repartition(2).write.parquet(source)
+        stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)  # noqa: B023, E731
+        steps = lambda s: stateful.machine_steps(s, "user", "ts", "id", "action", stateful.Jobs(12), "30 days")
+        stateful.run_to_end(stream(), path, steps)
+        for part in range(1, cut):
+            rows.where(F.col("id") % cut == part).write.mode("append").parquet(source)
+            stateful.run_to_end(stream(), path, steps)
+        end = rows.limit(1).select(F.lit(None).cast("long").alias("user"), F.lit(0).cast("long").alias("id"), F.timestamp_micros(F.lit(stateful.END_MICROS)).alias("ts"), F.lit("queued").alias("action"))
+        end.write.mode("append").parquet(source)
+        out = stateful.run_to_end(stream(), path, steps)
+        last = out.where("user is not null").groupBy("user").agg(F.max_by(F.struct("status", "since", "ended", "timeouts", "ignored"), "serial").alias("s"))
+        assert {r["user"]: tuple(r["s"]) for r in last.collect()} == want
+        assert out.groupBy("user", "serial").count().where("count > 1").isEmpty()
