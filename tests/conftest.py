@@ -14,8 +14,8 @@ DATA = Path(os.environ.get("VEDUTA_TESTDATA", "/root/testdata"))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session("local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false", spark_driver_memory="4g", spark_ui_showConsoleProgress="false")
+def spark(tmp_path_factory):
+    s = session("local[4]", spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")), spark_sql_shuffle_partitions="4", spark_ui_enabled="false", spark_driver_memory="4g", spark_ui_showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
