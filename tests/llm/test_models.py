@@ -233,7 +233,7 @@ CASES += [
     ("<article><p>one</p><p data-x=it's>two</p><p>three</p></article>", "one\ntwo\nthree"),
     ('<article><p title="the hidden door opens">two</p><p hidden>no</p></article>', "two"),
     ('<article><p data-id="related" data-class="ad">two</p></article>', "two"),
-    ('<article><header class="top"><div><h1>A <b>title</b></h1></div><p>by me</p><nav><h2>no</h2></nav></header><p>t</p></article>', "A title\nt"),
+    ('<article><header class="top"><div><h1>A <b>title</b></h1></div><p>by me</p><nav><h2>no</h2></nav></header><p>t</p></article>', "A title\nby me\nt"),
     ("<body><header><h1>Site</h1></header><article><p>t</p></article></body>", "t"),
 ]
 
@@ -322,3 +322,22 @@ def test_stray_quotes_end_with_their_tag(tag, rest):
     tail = unescape(re.sub("<[^>]*>", "", rest))
     assert main_text(f"<article><p>one</p>{tag}two</p>{rest}<p>three</p></article>") == "\n".join(["one", "two", *([tail] if tail else []), "three"])
     assert main_text(f"<article><p>one</p>{tag}two</p>{rest}<p>cut <b title=\"x") == "\n".join(["one", "two", *([tail] if tail else []), "cut"])
+
+
+@pytest.mark.parametrize("around", ["form id=aspnetForm", "label", "menu", "dialog open", "div hidden"])
+def test_elements_around_the_article_keep_it(around):
+    end = around.split()[0]
+    assert main_text(f"<body><{around}><nav>menu</nav><article><p>whole article</p></article></{end}></body>") == "whole article"
+    assert main_text(f"<body><{around}><main><p>whole article</p></main></{end}></body>") == "whole article"
+    assert main_text(f"<body><article><p>the article itself</p><{around}><p>sign up</p></{end}></article></body>") == "the article itself"
+
+
+def test_lists_of_links_in_an_article_stay():
+    items = "".join(f"<li><a href={i}>link number {i}</a></li>" for i in range(4))
+    text = "\n".join(f"link number {i}" for i in range(4))
+    assert main_text(f"<article><p>before</p><ul>{items}</ul><p>after</p></article>") == f"before\n{text}\nafter"
+    assert main_text(f"<ul>{items}</ul><article><p>only</p></article>") == "only"
+
+
+def test_an_articles_own_header_stays():
+    assert main_text("<header><h1>site</h1><p>slogan</p></header><article><header class='header'><h1>head</h1><p>standfirst</p></header><p>body</p></article>") == "head\nstandfirst\nbody"

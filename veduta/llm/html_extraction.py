@@ -32,8 +32,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _STRUCTURE = frozenset("article aside body div dl footer form header main nav ol section table ul".split())
 _CONTAINER = frozenset(("article", "main"))
-_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SKIPPED = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe input label map menu nav noscript object script select style svg template textarea title video".split())
+#: Skipped elements that some pages put around everything, as the attribute hidden also is.
+_AROUND = frozenset("dialog form label menu".split())
+_MAY_BE_AROUND = re.compile(rf"(?i)<(?:{'|'.join(sorted(_AROUND))})\b|<[^<>]*\shidden\b")
 #: Words in a class, id or role that mark an element as not part of the article.
 _MARKS = frozenset(
     "ad ads advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
@@ -48,14 +50,17 @@ def _attributes(text: str) -> Iterator[tuple[str, str]]:
         yield m[1].lower(), (m[2] or "").strip("\"'")
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether a whole class, id or role says that an element is not part of the article."""
+def _marked(name: str, attributes: str, own_header: bool) -> bool:
+    """Whether a whole class, id or role says that an element is not part of the article.
+
+    That an article's own header is called a header says nothing."""
+    marks = _MARKS - {"header"} if own_header else _MARKS
     if name in ("html", "body", "article", "main") or not attributes:
         return False
     for key, value in _attributes(attributes):
         for token in value.lower().split() if key in ("class", "id", "role") else ():
             parts = set(re.findall(r"[^\W\d_]+", token))
-            if parts & _MARKS and parts <= _MARKS | _BESIDE:
+            if parts & marks and parts <= _MARKS | _BESIDE:
                 return True
     return False
 
@@ -70,31 +75,37 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, link only, inside article or main) of every line of a page's visible text.
 
     A line ends where a block element begins or ends. Boilerplate elements are left out, but not the
-    headings in the header of an article or main, which are its own; the edge of a structural element
-    leaves an empty line. An unfinished tag or comment ends the page.
-    A class, id or role leaves out no element that holds a ``main``, the longest ``article`` or
-    more than half of the page's text."""
-    lines, spans, total = _walked(html, None)
-    marked = [x for x in spans if x[0] == "marked"]
-    mains = sorted(start for kind, start, _, size in spans if kind == "main" and size)
+    header of an article or main, which is its own; the edge of a structural element leaves an empty
+    line. An unfinished tag or comment ends the page.
+    Neither a class, id or role nor a form, label, menu, dialog or the attribute hidden leaves out an element
+    that holds a ``main``, the longest ``article`` or more than half of the page's text."""
+    around = _holders("around", *_walked(html, None, None)[1:]) if _MAY_BE_AROUND.search(html) else set()
+    lines, spans, total = _walked(html, None, around)
+    left_out = {x[1] for x in spans if x[0] == "marked"} - _holders("marked", spans, total)
+    return _walked(html, left_out, around)[0] if left_out else lines
+
+
+def _holders(kind: str, spans: list[tuple[str, int, int, int]], total: int) -> set[int]:
+    """Starts of the elements of a kind that hold a main with text, the longest article or over half of all text."""
+    mains = sorted(start for k, start, _, size in spans if k == "main" and size)
     longest = max((x for x in spans if x[0] == "article" and x[3]), key=lambda x: x[3], default=None)
-    left_out = set()
-    for _, start, end, size in marked:
+    out = set()
+    for k, start, end, size in spans:
         main = bisect(mains, start) < bisect(mains, end)
-        if not main and not (longest and start < longest[1] < end) and 2 * size <= total:
-            left_out.add(start)
-    return _walked(html, left_out)[0] if left_out else lines
+        if k == kind and (main or (longest and start < longest[1] < end) or 2 * size > total):
+            out.add(start)
+    return out
 
 
-def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int, int, int]], int]:
+def _walked(html: str, marked_out: set[int] | None, staying: set[int] | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int, int, int]], int]:
     """Lines, leaving out the marked elements that start at ``marked_out``; then, if that is None,
-    (marked, article or main; start; end; characters) of elements; and the characters of the page."""
+    (marked, around, article or main; start; end; characters) of elements; and the characters of the page.
+    Of elements that may be around everything those that start at ``staying`` stay, or all if that is None."""
     lines: list[tuple[str, bool, bool]] = []
     spans: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int]] = []  # element, 1 where it begins to be left out, -1 where a heading returns
+    stack: list[tuple[str, int]] = []  # element, 1 where it begins to be left out
     open_: Counter[str] = Counter()  # elements in the stack by name
     blocks: list[int] = []  # places of block elements in the stack
-    hiding: list[str] = []  # open elements that begin to be left out
     opened: list[tuple[int, str, int, int]] = []  # depth in the stack, kind, start, characters before
     text: list[str] = []
     linked = plain = False
@@ -131,11 +142,9 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
             while opened and opened[-1][0] == len(stack):
                 _, kind, start, before = opened.pop()
                 spans.append((kind, start, at, seen - before))
-            if change <= 0 and not skipped and name in _BLOCK:
+            if not change and not skipped and name in _BLOCK:
                 flush(name in _STRUCTURE)
             skipped -= change
-            if change > 0:
-                hiding.pop()
             inside -= name in _CONTAINER
             links -= name == "a"
 
@@ -178,20 +187,22 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
                 flush(name in _STRUCTURE)
         if name in _VOID:
             continue
-        left_out = _boilerplate(name, m[3])
+        own_header = name == "header" and inside > 0
+        left_out = _boilerplate(name, m[3]) and not own_header
+        if left_out and (name in _AROUND or name not in _SKIPPED) and (staying is None or cut in staying):
+            left_out = False
+            if staying is None:
+                opened.append((len(stack), "around", cut, seen))
         if marked_out is not None:
             left_out = left_out or cut in marked_out
         elif name in _CONTAINER:
             opened.append((len(stack), name, cut, seen))
-        elif not left_out and _marked(name, m[3]):
+        elif not left_out and _marked(name, m[3], own_header):
             opened.append((len(stack), "marked", cut, seen))
-        own = name in _HEADING and skipped == 1 and inside and not left_out and hiding == ["header"]
         if left_out and not skipped:
             flush(False)
-        change = -1 if own else int(left_out)
+        change = int(left_out)
         skipped += change
-        if left_out:
-            hiding.append(name)
         inside += name in _CONTAINER
         links += name == "a"
         open_[name] += 1
@@ -205,12 +216,13 @@ def _walked(html: str, marked_out: set[int] | None) -> tuple[list[tuple[str, boo
 
 
 def line_weights(lines: list[tuple[str, bool, bool]]) -> list[int]:
-    """A line's part in window sums: its length, but 0 in menus (MENU or more link-only lines in a row).
+    """A line's part in window sums: its length, but 0 in menus (MENU or more link-only lines in a row
+    outside ``article`` and ``main``, in which lists of links are text).
 
     Where a page has an ``article`` or ``main`` with text, its lines carry SURGE besides, so that text
     surges with the first of them however short, and lines outside it carry nothing."""
     contained = any(text and inside for text, _, inside in lines)
-    weight = [0 if link or (contained and not inside) else len(text) for text, link, inside in lines]
+    weight = [0 if (link and not inside) or (contained and not inside) else len(text) for text, link, inside in lines]
     run = 0
     for i, (_, link, _) in enumerate([*lines, ("", False, False)]):
         if link:
