@@ -68,7 +68,8 @@ def test_kept_documents(spark):
     out = without_near_duplicates(docs)
     assert out.columns == docs.columns
     kept = [r["doc_id"] for r in out.collect()]
-    assert sorted(str(k) for k in kept) == sorted(str(r[0]) for r in edge_rows() if r[0] not in (7, 8, 11))
+    # The row without id whose text is that of 1 goes, the one without text stays.
+    assert sorted(str(k) for k in kept) == sorted(str(r[0]) for r in edge_rows() if r[0] not in (7, 8, 11) and (r[0] is not None or r[1] is None))
     assert near_duplicates(no_docs(spark)).count() == 0
 
 
@@ -76,8 +77,17 @@ def test_one_row_of_a_repeated_id_stays(spark):
     a, b = " ".join(words(30, 1)), " ".join(words(31, 2))
     rows = [row(1, a), row(1, a), row(2, b), row(2, a), row(None, a), row(None, a), row(4, None), row(4, None)]
     kept = without_near_duplicates(spark.createDataFrame(rows, edge_docs(spark).schema)).collect()
-    # 2 has a text of 1, so both are one component; rows without id stay.
-    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("1", a), ("4", ""), ("None", a), ("None", a)])
+    # 2 has a text of 1, so both are one component, and so are the rows without id.
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("1", a), ("4", "")])
+
+
+def test_rows_without_id_are_deduplicated(spark):
+    a, b = " ".join(words(60, 1)), " ".join(words(61, 2))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [row(None, a), row(None, near), row(None, a.upper()), row(5, b), row(None, b), row(None, None), row(None, "")]
+    kept = without_near_duplicates(spark.createDataFrame(rows, edge_docs(spark).schema).repartition(3)).collect()
+    assert sum(r["text"] in (a, near, a.upper()) for r in kept) == 1
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept if r["text"] not in (a, near, a.upper())) == [(0, 0), (0, 0), (5, len(b))]
 
 
 def test_repeated_id_ties_its_texts(spark):

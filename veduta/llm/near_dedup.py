@@ -329,10 +329,27 @@ def _unnamed(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, one of each component, with all their columns.
+    """One document of each component of ``near_duplicates``, with all its columns: that of the least doc_id.
 
     Of rows that share a kept doc_id one stays, that of the longest text (then the one greatest by
-    a hash of the text). Rows without doc_id link with nothing and all stay."""
+    a hash of the text). Rows without doc_id are stored once with numbers above all ids, take part like any
+    others and lose the numbers again: such a row goes if it is like a row with an id, and of
+    some that are alike one stays. Null, empty and blank texts link with nothing and stay."""
+    lost = docs.where("doc_id is null")
+    largest = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not largest[1]:
+        return _without_near_duplicates(docs)
+    base = max(0, -1 if largest[0] is None else int(largest[0])) + 1
+    if base >= 1 << 62:
+        raise ValueError("doc_ids leave no room for numbers of rows without one")
+    kind = docs.schema["doc_id"].dataType
+    numbered = stored(lost.withColumn("doc_id", F.lit(base) + F.monotonically_increasing_id()))
+    every = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(numbered)
+    kept = _without_near_duplicates(every)
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") < base, F.col("doc_id")).cast(kind)).select(*docs.columns)
+
+
+def _without_near_duplicates(docs: DataFrame) -> DataFrame:
     dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     rows = without(docs, "_dropped")
     kept = rows.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
