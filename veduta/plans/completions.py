@@ -96,7 +96,7 @@ def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "master_occurrences",
     """
-    WITH s AS (SELECT event_id AS n, venue_id, date, event_type, status, round(price) AS price FROM ev WHERE event_id % 3 = 0),
+    WITH s AS (SELECT event_id AS n, venue_id, date, event_type, status, round(price) AS price FROM ev),
     k AS (SELECT venue_id, date, event_type, status, round(price) AS price, count(DISTINCT event_id) AS c, min(event_id) AS id FROM ev WHERE event_id % 5 > 0 GROUP BY ALL)
     SELECT n, CASE WHEN c = 1 THEN id END AS event_id, CASE WHEN c = 1 THEN 'unique' WHEN c > 1 THEN 'several' ELSE 'none' END AS found FROM s LEFT JOIN k ON s.venue_id = k.venue_id AND s.date = k.date AND s.event_type = k.event_type AND s.status = k.status AND s.price = k.price""",
     "ev",
@@ -106,7 +106,7 @@ def master_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["venue_id", "date", "event_type", "status", "price"]
     rows = binding.occurrences(spark, sf_dir).withColumn("price", F.round("price"))
     master = rows.where("event_id % 5 > 0").groupBy(*keys).agg(F.count_distinct("event_id").alias("_c"), F.min("event_id").alias("event_id"))
-    staged = rows.where("event_id % 3 = 0").withColumnRenamed("event_id", "n").join(master, keys, "left")
+    staged = rows.withColumnRenamed("event_id", "n").join(master, keys, "left")
     found = cascade([(F.col("_c") == 1, "unique"), (F.col("_c") > 1, "several")], "none")
     return staged.select("n", F.when(F.col("_c") == 1, F.col("event_id")).alias("event_id"), found.alias("found"))
 
