@@ -89,15 +89,17 @@ def _letter_counts(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.length(c) - F.length(F.replace(c, F.char(i), F.lit(""))))
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Similarity 2M / (|a| + |b|) of two texts, M being the characters in matching blocks; 0 for a null."""
+def sequence_ratio(a: Column, b: Column, in_place: bool = False) -> Column:
+    """Similarity 2M / (|a| + |b|) of two texts, M being the characters in matching blocks; 0 for a null.
+
+    ``in_place`` keeps the optimizer from moving it below joins and filters that leave few pairs."""
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([SequenceMatcher(None, p, q).ratio() if isinstance(p, str) and isinstance(q, str) else 0.0 for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return ratio(a, b)
+    return (ratio.asNondeterministic() if in_place else ratio)(a, b)
 
 
 def common_run(least: float, longest: int = 400) -> int:
@@ -176,15 +178,20 @@ def candidate_names(left: DataFrame, right: DataFrame, key: str, least: float) -
     Every name is looked at once, however many rows have it. Names meet in their rarest runs of
     characters, at nearly the same place, by exact lengths; then the letters they have in common, counted once
     a name, must be enough."""
-    sides = {c: df.select(F.col(key).alias(c)).where(f"{c} != ''").distinct() for c, df in (("_a", left), ("_b", right))}
-    runs = {c: positional_runs(names, c) for c, names in sides.items()}
-    often = runs["_a"].select("q", "run").unionByName(runs["_b"].select("q", "run")).groupBy("q", "run").agg(F.count(F.lit(1)).alias("n"))
-    keys = {c: meeting_keys(names.join(rarest_first(runs[c], c, often), c, "left"), c, least, c == "_a") for c, names in sides.items()}
+    both = [df.select(F.col(key).alias("_name"), F.lit(side).alias("_s")) for side, df in ((1, left), (2, right))]
+    names = both[0].unionByName(both[1]).where("_name != ''").groupBy("_name").agg(F.bit_or("_s").alias("_s"))
+    runs = positional_runs(names, "_name")
+    often = runs.groupBy("q", "run").agg(F.count(F.lit(1)).alias("n"))
+    letters = F.struct(_letter_counts(F.col("_name")).alias("n"), F.length(F.regexp_replace("_name", "[a-z]", "")).alias("o"))
+    ranked = names.join(rarest_first(runs, "_name", often), "_name", "left")
+    keys = {c: meeting_keys(ranked.where(F.col("_s").bitwiseAND(side) > 0), "_name", least, side == 1).withColumnRenamed("_name", c) for c, side in (("_a", 1), ("_b", 2))}
     met = keys["_a"].join(keys["_b"].select("_b", "grp", F.col("at").alias("_at")), "grp").where(F.abs(F.col("at") - F.col("_at")) <= F.col("shift"))
-    counted = {c: names.select(c, _letter_counts(F.col(c)).alias(f"{c}n"), F.length(F.regexp_replace(c, "[a-z]", "")).alias(f"{c}o")) for c, names in sides.items()}
-    pairs = met.select("_a", "_b").distinct().join(counted["_a"], "_a").join(counted["_b"], "_b")
-    common = F.aggregate(F.zip_with("_an", "_bn", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    return pairs.where(2.0 * (common + F.least("_ao", "_bo")) >= least * (F.length("_a") + F.length("_b")) - 1e-9).select("_a", "_b")
+    counted = names.select("_name", letters.alias("_l"))
+    pairs = met.select("_a", "_b").distinct()
+    for c in ("_a", "_b"):
+        pairs = pairs.join(counted.withColumnsRenamed({"_name": c, "_l": f"{c}l"}), c)
+    common = F.aggregate(F.zip_with("_al.n", "_bl.n", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return pairs.where(2.0 * (common + F.least("_al.o", "_bl.o")) >= least * (F.length("_a") + F.length("_b")) - 1e-9).select("_a", "_b")
 
 
 def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, least: float, top: int) -> DataFrame:
@@ -195,7 +202,7 @@ def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, rig
     common run is certain and candidates are few; below, names meet by length alone, which is for
     vocabularies, as pairs then grow with the square of the names of a length."""
     pairs = candidate_names(left, right, key, least)
-    scored = pairs.withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= least)
+    scored = pairs.withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"), in_place=True)).where(F.col("score") >= least)
     rows = lambda df, i, c: df.select(F.col(i).alias(f"{c}i"), F.col(key).alias(c)).where(f"{c} != ''").distinct()
     named = scored.join(rows(left, left_id, "_a"), "_a").join(rows(right, right_id, "_b"), "_b").select(F.col("_ai").alias(left_id), F.col("_bi").alias(right_id), "score")
     order = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
