@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.data import edge_docs, edge_rows, no_docs, row, words
-from veduta.llm.fingerprints import ANCHORS, LEAST, decoded, encoded, fingerprint_documents, length_partition, likeness, near_classes, similar_sets, spot_signatures, with_next_text
+from veduta.llm.fingerprints import ANCHORS, LEAST, STRETCH, decoded, encoded, fingerprint_documents, length_partition, likeness, near_classes, similar_sets, spot_signatures, with_next_text
 from veduta.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -20,10 +20,11 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 def plain_signatures(text, chain=2, distance=1):
     """The multiset of signatures by the definition."""
     ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    out = Counter()
+    out, run = Counter(), 0
     for i, w in enumerate(ws):
+        run = 0 if w in ANCHORS else run + 1
         content = [x for x in ws[i + 1 :] if x not in ANCHORS][distance - 1 :: distance][:chain]
-        if w in ANCHORS and len(content) == chain:
+        if (w in ANCHORS or run > STRETCH) and len(content) == chain:
             out[(w, *content)] += 1
     if not out and len(ws) > chain:
         out = Counter(tuple(ws[i : i + chain + 1]) for i in range(len(ws) - chain))
@@ -44,7 +45,7 @@ def texts(n, seed, length=60):
 
 @pytest.mark.parametrize("chain,distance", [(2, 1), (3, 1), (2, 3), (1, 1)])
 def test_signatures_by_definition(chain, distance):
-    some = [*texts(80, 1), None, "", "!! ??", "The, Über-cat and THE über: cat sat", "of", "word", "two words", "three plain words", "the the the the"]
+    some = [*texts(80, 1), " ".join(words(50, 3)), " ".join([*words(20, 4), "the", *words(9, 5), "of", *words(8, 6)]), None, "", "!! ??", "The, Über-cat and THE über: cat sat", "of", "word", "two words", "three plain words", "the the the the"]
     for text, elements in zip(some, spot_signatures(some, ANCHORS, chain, distance), strict=True):
         assert len(elements) == sum(plain_signatures(text, chain, distance).values())
     a = list(spot_signatures(some, ANCHORS, chain, distance))

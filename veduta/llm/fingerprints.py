@@ -35,6 +35,8 @@ ANCHORS = (
 ).split()
 #: Content words of a chain, and the distance in content words from one to the next.
 CHAIN, DISTANCE = 2, 1
+#: Content words in a row behind which, until the next common word, every word is an anchor.
+STRETCH = 8
 #: Least similarity of near-duplicates.
 LEAST = 0.75
 #: Bytes of text of one range of ids.
@@ -73,18 +75,21 @@ def spot_signatures(texts: Sequence[str | None], anchors: Sequence[str] = ANCHOR
     """Per text its elements: chains of ``chain`` content words behind every anchor.
 
     Words are runs of ASCII letters and digits and of other characters than ASCII, A-Z lower-cased.
-    Where no anchor has a whole chain (texts without common words, or of few words) every word
-    is an anchor, followed by the next words; with no more than ``chain`` words the whole sequence is the one
-    signature. Null, empty and wordless texts have none."""
+    Tables and lists have few common words, so from STRETCH content words in a row on the following ones are anchors
+    too. Where no anchor has a whole chain (texts of few words) every word is an anchor, followed by the next
+    words; with no more than ``chain`` words the whole sequence is the one signature. Null, empty and
+    wordless texts have none."""
     known = anchor_hashes(tuple(anchors))
     for first, end, data, starts in blocks(texts):
         value, _, _, row = words(data, starts, _SEPARATOR)
         common = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
         content = np.flatnonzero(~common)
-        spots = np.flatnonzero(common)
-        start = np.searchsorted(content, spots) + distance - 1  # the first content word of the chain
+        place = np.arange(len(value))
+        row_of = np.searchsorted(row, place, side="right") - 1
+        before = np.maximum(np.maximum.accumulate(np.where(common, place, -1)), row[row_of] - 1)
+        spots = np.flatnonzero(common | (place - before > STRETCH))
+        start = np.searchsorted(content, spots, side="right") + distance - 1  # the first content word of the chain
         last = start + (chain - 1) * distance
-        row_of = np.searchsorted(row, np.arange(len(value)), side="right") - 1
         inside = last < len(content)
         inside[inside] = row_of[content[last[inside]]] == row_of[spots[inside]]
         spots, start = spots[inside], start[inside]
