@@ -101,8 +101,9 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[Page]:
         return pages_of(files_of(self.path), self.bounds)
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        yield from read_page(partition, self.columns)
+    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark asks for one without pages where none fits
+            yield from read_page(partition, self.columns)
 
 
 class PagedStream(DataSourceStreamReader):
