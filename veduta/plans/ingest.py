@@ -187,12 +187,12 @@ def manifest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overridden_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with manual overrides where they have text; else distinct lines in order (the 20,000
-    characters at most are the feature)."""
+    characters at most are the feature, a space at the cut stays)."""
     n = F.col("doc_id")
-    lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))), lambda t: t != "")
+    lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.trim(F.regexp_replace(t, r"[ \t\n\f\r]+", " ")))), lambda t: t != "")
     title = first_non_empty(F.when(n % 4 == 0, F.concat(F.lit("Title "), n.cast("string"))).otherwise(""), F.col("lang"))
-    body = first_non_empty(F.when(n % 5 == 0, "own text").otherwise(""), F.substring(F.array_join(lines, "\n"), 1, 20000), F.lit(" "))
-    return binding.articles(spark, sf_dir).select("doc_id", title.alias("title"), F.md5(F.trim(body).cast("binary")).alias("body"))
+    body = first_non_empty(F.when(n % 5 == 0, "own text").otherwise(""), F.substring(F.array_join(lines, "\n"), 1, 20000))
+    return binding.articles(spark, sf_dir).select("doc_id", title.alias("title"), F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("body"))
 
 
 @query(
