@@ -131,7 +131,7 @@ def _shared_rule(n: Column, m: Column, least: float) -> dict[str, Column]:
     lost = n + m - 2 * common
     kept = {q: common - (q - 1) * lost - q + 1 for q in RUNS}
     q = cascade([(kept[q] >= 1, F.lit(q)) for q in RUNS], F.lit(0))
-    return {"common": common, "q": q, "kept": cascade([(q == r, kept[r]) for r in RUNS], F.lit(0)), "shift": F.greatest(n, m) - common}
+    return {"common": common, "lost": lost, "q": q, "kept": cascade([(q == r, kept[r]) for r in RUNS], F.lit(0)), "shift": F.greatest(n, m) - common}
 
 
 def positional_runs(names: DataFrame, key: str) -> DataFrame:
@@ -151,18 +151,19 @@ def rarest_first(runs: DataFrame, key: str, often: DataFrame) -> DataFrame:
     return ranked.groupBy(key).agg(*[F.max(F.when(F.col("q") == q, F.col("_r"))).alias(f"q{q}") for q in RUNS])
 
 
-def meeting_keys(ranked: DataFrame, key: str, least: float, left: bool) -> DataFrame:
+def meeting_keys(ranked: DataFrame, key: str, least: float, left: bool, beyond: int = -1) -> DataFrame:
     """(key, grp, at, shift): the keys in which a name meets names of each length that it may be like.
 
     Of the runs in both names the rarest is among the first of either name that exceed by one the runs which
     may be missing, so only these are keys, one set for each length of the other name. Lengths that
-    ensure no common run are keys themselves, dealt to PARTS on the left and repeated on the right."""
+    ensure no common run are keys themselves, dealt to PARTS on the left and repeated on the right. Only lengths at which more than ``beyond`` characters
+    may be lost have keys."""
     n, share = F.length(key), least / (2 - least)
     lengths = F.sequence(F.greatest(F.ceil(n * share - 1e-9), F.lit(1)).cast("int"), F.floor(n / share + 1e-9).cast("int"))
     rows = ranked.withColumn("_m", F.explode(lengths))
     rule = _shared_rule(n, F.col("_m"), least)
     pair = (n, F.col("_m")) if left else (F.col("_m"), n)
-    rows = rows.select("*", *[c.alias(f"_{name}") for name, c in rule.items()]).where(F.col("_common") <= F.least(n, F.col("_m")))
+    rows = rows.select("*", *[c.alias(f"_{name}") for name, c in rule.items()]).where((F.col("_common") <= F.least(n, F.col("_m"))) & (F.col("_lost") > beyond))
     own = cascade([(F.col("_q") == q, F.col(f"q{q}")) for q in RUNS], F.lit(None))
     by_run = rows.where("_q > 0").withColumn("_e", F.explode(F.slice(own, F.lit(1), n - F.col("_q") + 1 - F.col("_kept") + 1)))
     grp = lambda run: F.struct(*[c.cast("int").alias(name) for c, name in zip(pair, "nm", strict=True)], "_q", run.alias("run")).alias("grp")
@@ -172,22 +173,93 @@ def meeting_keys(ranked: DataFrame, key: str, least: float, left: bool) -> DataF
     return by_run.unionByName(by_length.select(key, grp(F.col("_part").cast("string")), F.lit(0).alias("at"), F.lit(0).alias("shift")))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as shuffles have: few bytes may still be much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+#: Lost characters up to which names meet in halves: a half then loses two at the most.
+HALVED = 5
+
+
+def shortest_beyond(least: float, most: int = HALVED) -> int:
+    """The least length of a name that may lose, with another of similarity ``least``, more than ``most`` characters."""
+    share, n = least / (2 - least), 1
+    while least < 1:
+        for m in range(max(ceil(n * share - 1e-9), 1), int(n / share + 1e-9) + 1):
+            common = ceil(least * (n + m) / 2 - 1e-9)
+            if common <= min(n, m) and n + m - 2 * common > most:
+                return n
+        n += 1
+    return 1 << 30
+
+
+def _without(s: Column, k: int) -> Column:
+    """array<string>: a text without any ``k`` of its characters (0 to 2), each choice of them."""
+    if k == 0:
+        return F.array(s)
+    cut = lambda p, r: s.substr(p + 1, r - p - 1)  # noqa: E731 - what lies between two places
+    n = F.length(s)
+    places = F.sequence(F.lit(1), n - (k - 1))
+    if k == 1:
+        each = F.transform(places, lambda p: F.concat(cut(F.lit(0), p), cut(p, n + 1)))
+    else:
+        each = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(p + 1, n), lambda r: F.concat(cut(F.lit(0), p), cut(p, r), cut(r, n + 1)))))
+    return F.when(n >= k, each).otherwise(F.array().cast("array<string>"))
+
+
+def half_keys(names: DataFrame, key: str, lengths: DataFrame, least: float, left: bool, most: int = HALVED) -> DataFrame:
+    """(key, grp): the halves in which a name meets names of the ``lengths`` (column m) where ``most`` characters are lost at most.
+
+    Take a common subsequence of exactly ``common`` characters and cut the left name in the middle, the right one
+    accordingly. Of the characters lost by both, either at most half are in the first parts or fewer than half in the
+    second ones. So the left name's half without x characters is the right name's beginning or end without y for
+    an x + y that is small; the greatest y that fits covers the smaller ones. Half a name is long and loses little, so
+    it is rare where single runs are not, such as those of a first word that many names share."""
+    own, other = F.length(key), F.col("m")
+    n, m = (own, other) if left else (other, own)
+    rule = _shared_rule(n, m, least)
+    rows = spread(names.select(key), key).crossJoin(F.broadcast(lengths)).select(key, n.alias("_n"), m.alias("_m"), rule["common"].alias("_c"), rule["lost"].alias("_lost"))
+    rows = rows.where((F.col("_c") <= F.least("_n", "_m")) & (F.col("_lost") <= most))
+    n, m, common, lost = (F.col(c) for c in ("_n", "_m", "_c", "_lost"))
+    middle = F.floor(n / 2).cast("int")
+    none = F.array().cast("array<string>")
+    hashed = lambda part, texts: F.transform(F.array_distinct(texts), lambda t: F.xxhash64(n, m, F.lit(part), t))
+    keys = []
+    for part, long_, most_lost in ((1, middle, F.floor(lost / 2)), (2, n - middle, F.floor((lost - 1) / 2))):
+        for x in range(most // 2 + 1):
+            stays = long_ - x
+            y = F.least(m - common, most_lost - x).cast("int")
+            fits = (F.lit(x) <= n - common) & (F.lit(x) <= most_lost) & stays.between(0, common)
+            if left:
+                texts = _without(F.substring(key, F.lit(1), long_) if part == 1 else F.substring(key, middle + 1, long_), x)
+            else:
+                held = F.substring(key, F.lit(1), stays + y) if part == 1 else F.substring(key, m - stays - y + 1, stays + y)
+                texts = cascade([(y == k, _without(held, k)) for k in range(most // 2 + 1)], none)
+            keys.append(F.when(fits, hashed(part, texts)).otherwise(F.array().cast("array<bigint>")))
+    return rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("grp"))
+
+
 def candidate_names(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
     """(_a, _b): distinct pairs of names that may have a similarity of ``least`` or more; none is missed.
 
-    Every name is looked at once, however many rows have it. Names meet in their rarest runs of
-    characters, at nearly the same place, by exact lengths; then the letters they have in common, counted once
-    a name, must be enough."""
+    Every name is looked at once, however many rows have it. Names of exact lengths at which few characters may be lost meet
+    in halves, others in their rarest runs of characters, at nearly the same place; then the letters they have in
+    common, counted once a name, must be enough."""
     both = [df.select(F.col(key).alias("_name"), F.lit(side).alias("_s")) for side, df in ((1, left), (2, right))]
     names = both[0].unionByName(both[1]).where("_name != ''").groupBy("_name").agg(F.bit_or("_s").alias("_s"))
-    runs = positional_runs(names, "_name")
+    long_ = spread(names.where(F.length("_name") >= shortest_beyond(least)), "_name")
+    runs = positional_runs(long_, "_name")
     often = runs.groupBy("q", "run").agg(F.count(F.lit(1)).alias("n"))
     letters = F.struct(_letter_counts(F.col("_name")).alias("n"), F.length(F.regexp_replace("_name", "[a-z]", "")).alias("o"))
-    ranked = names.join(rarest_first(runs, "_name", often), "_name", "left")
-    keys = {c: meeting_keys(ranked.where(F.col("_s").bitwiseAND(side) > 0), "_name", least, side == 1).withColumnRenamed("_name", c) for c, side in (("_a", 1), ("_b", 2))}
+    ranked = long_.join(rarest_first(runs, "_name", often), "_name", "left")
+    of = lambda side: F.col("_s").bitwiseAND(side) > 0
+    keys = {c: meeting_keys(ranked.where(of(side)), "_name", least, side == 1, HALVED).withColumnRenamed("_name", c) for c, side in (("_a", 1), ("_b", 2))}
     met = keys["_a"].join(keys["_b"].select("_b", "grp", F.col("at").alias("_at")), "grp").where(F.abs(F.col("at") - F.col("_at")) <= F.col("shift"))
     counted = names.select("_name", letters.alias("_l"))
-    pairs = met.select("_a", "_b").distinct()
+    lengths = {side: names.where(of(side)).select(F.length("_name").alias("m")).distinct() for side in (1, 2)}
+    halves = [half_keys(names.where(of(side)), "_name", lengths[3 - side], least, side == 1).withColumnRenamed("_name", c) for c, side in (("_a", 1), ("_b", 2))]
+    pairs = met.select("_a", "_b").unionByName(halves[0].join(halves[1], "grp").select("_a", "_b")).distinct()
     for c in ("_a", "_b"):
         pairs = pairs.join(counted.withColumnsRenamed({"_name": c, "_l": f"{c}l"}), c)
     common = F.aggregate(F.zip_with("_al.n", "_bl.n", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
@@ -202,7 +274,7 @@ def similar_names(left: DataFrame, right: DataFrame, key: str, left_id: str, rig
     common run is certain and candidates are few; below, names meet by length alone, which is for
     vocabularies, as pairs then grow with the square of the names of a length."""
     pairs = candidate_names(left, right, key, least)
-    scored = pairs.withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"), in_place=True)).where(F.col("score") >= least)
+    scored = spread(pairs, "_a").withColumn("score", sequence_ratio(F.col("_a"), F.col("_b"), in_place=True)).where(F.col("score") >= least)
     rows = lambda df, i, c: df.select(F.col(i).alias(f"{c}i"), F.col(key).alias(c)).where(f"{c} != ''").distinct()
     named = scored.join(rows(left, left_id, "_a"), "_a").join(rows(right, right_id, "_b"), "_b").select(F.col("_ai").alias(left_id), F.col("_bi").alias(right_id), "score")
     order = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
