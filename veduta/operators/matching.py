@@ -85,6 +85,20 @@ def match_steps(candidates: DataFrame, candidate: str, steps: Sequence[tuple[str
     return joined.select(candidate, F.when(matches == 1, F.col(f"b.{target}")).alias(target), status.alias("status"), matches.cast("long").alias("matches"))
 
 
+def match_keys(candidates: DataFrame, candidate: str, masters: DataFrame, target: str, steps: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """As ``match_steps``, each step being (name, key of a candidate, key of a master), for candidates and masters that
+    have one row each. Masters are reduced to one row a key before they are joined, so that a key of many masters and
+    candidates does not multiply; null keys match nothing."""
+    rows = candidates
+    for no, (_, own, known) in enumerate(steps):
+        one = masters.groupBy(known.alias(f"_k{no}")).agg(F.count_distinct(target).alias(f"_n{no}"), F.min(target).alias(f"_t{no}"))
+        rows = rows.withColumn(f"_k{no}", own).join(one, f"_k{no}", "left")
+    first = lambda c: F.coalesce(*[F.when(F.col(f"_n{no}") > 0, c(no, name)) for no, (name, _, _) in enumerate(steps)])
+    matches = F.coalesce(first(lambda no, _: F.col(f"_n{no}")), F.lit(0))
+    status = cascade([(matches == 0, "unmatched"), (matches > 1, "ambiguous")], first(lambda _, name: F.lit(name)))
+    return rows.select(candidate, F.when(matches == 1, first(lambda no, _: F.col(f"_t{no}"))).alias(target), status.alias("status"), matches.cast("long").alias("matches"))
+
+
 def _letter_counts(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.length(c) - F.length(F.replace(c, F.char(i), F.lit(""))))
 
