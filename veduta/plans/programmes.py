@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veduta import binding
 from veduta.functions import lines as L
@@ -48,20 +49,20 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("page", F.col("_p.title").alias("title"), F.inline("_p.lines"))
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_programme(_lines(spark, sf_dir), "page", "block", "line", "text", "title")
+def _classified(spark: SparkSession, sf_dir: str, *keep: str, features: tuple[str, ...] = ()) -> DataFrame:
+    return classify_programme(_lines(spark, sf_dir), "page", "block", "line", "text", "title", keep=keep, features=features)
 
 
 @query("programme_line_classes", f"SELECT event_id AS page, n AS line, class FROM ev JOIN {_CLASSES} ON template = event_id % {len(_PAGES)}", "ev")
 def programme_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every line of every programme page."""
-    return _classified(spark, sf_dir).select("page", "line", "class")
+    return _classified(spark, sf_dir, "block", "line", "text", "title").select("page", "line", "class")
 
 
 @query("programme_structures", f"SELECT event_id AS page, structure, lines FROM ev JOIN {_STRUCTURES} ON template = event_id % {len(_PAGES)}", "ev")
 def programme_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structure of every programme page."""
-    return page_structures(_classified(spark, sf_dir), "page", "block", "text", "title")
+    return page_structures(_classified(spark, sf_dir, "block", "line", "text", "title"), "page", "block", "text", "title")
 
 
 @query(
@@ -73,12 +74,12 @@ def programme_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and pages by class, and composers' lines that may be something else."""
-    rows, f = L.with_features(_classified(spark, sf_dir), "text", "cast", "risk")
-    rows = rows.select("page", "class", ((F.col("class") == "composer_candidate") & f["risk"]).alias("risk"))
-    by_page = rows.groupBy("class", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if("risk").alias("r"))
+    risky = (F.col("class") == "composer_candidate") & F.col("_risk")
+    rows = _classified(spark, sf_dir, features=("risk",)).select("page", "class", risky.alias("risk"))
+    by_page = rows.groupBy("page", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if("risk").alias("r"))  # lines lie by page: no shuffle
     by_class = by_page.groupBy("class").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("pages"), F.sum("r").alias("risky"))
-    whole = by_class.agg(F.sum("lines").alias("_all"))
-    return by_class.join(whole, F.lit(True)).select("class", "lines", "pages", F.round(100.0 * F.col("lines") / F.col("_all"), 2).alias("percentage"), "risky")
+    whole = F.sum("lines").over(Window.partitionBy())  # over the classes, fourteen rows at most
+    return by_class.select("class", "lines", "pages", F.round(100.0 * F.col("lines") / whole, 2).alias("percentage"), "risky")
 
 
 #: A line, and its composer and work where it holds both.
