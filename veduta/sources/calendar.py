@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veduta.functions.dates import clock_pair
 from veduta.operators.dedup import pick_best
@@ -60,5 +61,8 @@ def detail_credits(pages: DataFrame, page: str, html: str) -> DataFrame:
     Who is on the team of a page is not in its cast as well."""
     item = lambda name: _pairs(F.regexp_extract(F.col(html), rf'(?s)<ul class="{name}">(.*?)</ul>', 1), r"(?s)<li>([^<:]*):(.*?)</li>")
     head = [page, _part(F.col(html), "h1", "title").alias("title"), _part(F.col(html), "p", "composer").alias("composer")]
-    sides = {s: pages.select(*head, F.lit(s).alias("side"), F.explode(item(s)).alias("_i")).select(page, "title", "composer", "side", F.trim("_i.key").alias("label"), plain(F.col("_i.body")).alias("person")) for s in ("team", "cast")}
-    return sides["team"].unionByName(sides["cast"].join(sides["team"].select(page, "person").distinct(), [page, "person"], "left_anti"))
+    side = lambda s: F.transform(item(s), lambda i: F.struct(F.lit(s).alias("side"), F.trim(i["key"]).alias("label"), plain(i["body"]).alias("person")))
+    # one look at every page; each row of several pages with one key is held against the team of all of them
+    credits = pages.select(*head, F.inline(F.concat(side("team"), side("cast"))))
+    on_team = F.col(page).isNotNull() & F.max(F.col("side") == "team").over(Window.partitionBy(page, "person"))
+    return credits.select("*", on_team.alias("_on_team")).where("side = 'team' or not _on_team").drop("_on_team")
