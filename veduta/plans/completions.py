@@ -87,7 +87,8 @@ def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         anchor(F.concat(F.lit("../news/"), n, F.lit("?utm=1")), long), anchor(F.concat(F.lit("/news/"), n, F.lit("/")), F.lit("Another long title")), anchor(F.concat(F.lit("/tag/"), n), long),
         anchor(F.concat(F.lit("https://other.org/"), n), long), anchor(F.concat(F.lit("/s/"), n), F.lit("short")), F.lit('<a href="/plain">A long title without heading</a>'),
     )
-    pages = binding.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.concat(site, F.lit("/list/")).alias("url"), page.alias("html"))
+    parts = 4 * spark.sparkContext.defaultParallelism  # the keys of many pages may be in one row group
+    pages = binding.table(spark, sf_dir, "part").select("p_partkey").repartition(parts, "p_partkey").select(F.col("p_partkey").alias("page"), F.concat(site, F.lit("/list/")).alias("url"), page.alias("html"))
     seen = pages.where("page % 7 = 0").select(urls.canonical_url(F.concat("url", F.lit("../news/"), F.col("page").cast("string"))).alias("link"))
     seen = seen.select(F.replace("link", F.lit("/list/.."), F.lit("")).alias("link"))
     return html.heading_links(pages, "page", "url", "html", seen)

@@ -73,8 +73,11 @@ def heading_links(pages: DataFrame, page: str, url: str, html: str, seen: DataFr
     author, tag, category or page. Of equal links on a page the first counts."""
     headings = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<h([1-3])[^>]*>(.*?)</h\1>"), F.lit(2))
     rows = pages.select(page, url, F.posexplode(F.flatten(F.transform(headings, links))).alias("_n", "_l"))
-    found = rows.select(page, url, "_n", canonical_url(resolved(F.col(url), F.col("_l.href"))).alias("link"), F.col("_l.title").alias("title"))
-    own = found.where((F.length("title") >= least) & (url_host(F.col("link")) == url_host(F.col(url))) & ~F.lower("link").rlike("/(author|tag|category|page)/"))
+    titled = rows.select(page, url, "_n", F.col("_l.href").alias("_href"), F.col("_l.title").alias("title")).where(F.length("title") >= least)
+    # one element each: what is behind an explode is worked out once, not again in every condition on it
+    whole = titled.select(page, url, "_n", "title", F.explode(F.array(resolved(F.col(url), F.col("_href")))).alias("_whole"))
+    found = whole.select(page, url, "_n", "title", F.explode(F.array(canonical_url(F.col("_whole")))).alias("link"))
+    own = found.where((url_host(F.col("link")) == url_host(F.col(url))) & ~F.lower("link").rlike("/(author|tag|category|page)/"))
     first = own.groupBy(page, "link").agg(F.min_by("title", "_n").alias("title"))
     return first.join(seen.select("link").distinct(), "link", "left_anti").select(page, "link", "title")
 
