@@ -32,8 +32,13 @@ def pick_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep_
 
 
 def unique_match(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
-    """keys, matches (distinct targets) and the target if it is the only one, else null."""
-    return df.groupBy(*keys).agg(F.count_distinct(target).alias("matches"), F.min(target).alias("_one")).select(
+    """keys, matches (distinct targets) and the target if it is the only one, else null.
+
+    Pairs are dealt out as they are before repeats go: where few repeat, a table of them in every task that
+    reads the rows would grow with the input and save nothing. Pairs of a hot key go to many tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = df.select(*keys, target).repartition(parts, *keys, target).distinct()
+    return pairs.groupBy(*keys).agg(F.count(target).alias("matches"), F.min(target).alias("_one")).select(
         *keys, "matches", F.when(F.col("matches") == 1, F.col("_one")).alias(target)
     )
 
