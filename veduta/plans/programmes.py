@@ -62,7 +62,7 @@ def programme_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("programme_structures", f"SELECT event_id AS page, structure, lines FROM ev JOIN {_STRUCTURES} ON template = event_id % {len(_PAGES)}", "ev")
 def programme_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structure of every programme page."""
-    return page_structures(_classified(spark, sf_dir, "block", "line", "text", "title"), "page", "block", "text", "title")
+    return page_structures(_classified(spark, sf_dir, "block", "title", features=("spanned",)), "page", "block", "text", "title")
 
 
 @query(
