@@ -56,7 +56,7 @@ def _classified(spark: SparkSession, sf_dir: str, *keep: str, features: tuple[st
 @query("programme_line_classes", f"SELECT event_id AS page, n AS line, class FROM ev JOIN {_CLASSES} ON template = event_id % {len(_PAGES)}", "ev")
 def programme_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every line of every programme page."""
-    return _classified(spark, sf_dir, "block", "line", "text", "title").select("page", "line", "class")
+    return _classified(spark, sf_dir, "line").select("page", "line", "class")
 
 
 @query("programme_structures", f"SELECT event_id AS page, structure, lines FROM ev JOIN {_STRUCTURES} ON template = event_id % {len(_PAGES)}", "ev")
