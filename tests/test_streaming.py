@@ -90,3 +90,69 @@ def test_machines_do_not_depend_on_batches_or_restarts(spark, tmp_path):
         last = out.where("user is not null").groupBy("user").agg(F.max_by(F.struct("status", "since", "ended", "timeouts", "ignored"), "serial").alias("s"))
         assert {r["user"]: tuple(r["s"]) for r in last.collect()} == want
         assert out.groupBy("user", "serial").count().where("count > 1").isEmpty()
+
+
+class Handle:
+    """State of one key, with a count of the values that go to the state server."""
+
+    def __init__(self):
+        self.values, self.sent, self.timers = [], 0, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return Handle()
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return self.values
+
+    def update(self, value):
+        self.values = value
+
+    def put(self, values):
+        self.values, self.sent = list(values), self.sent + len(values)
+
+    def appendList(self, values):  # noqa: N802
+        self.put([*self.values, *values])
+
+    def clear(self):
+        self.values = []
+
+
+def test_waiting_rows_are_state_in_blocks(monkeypatch):
+    row = stateful.Row("user", "at", "micros", "id", "action")
+    rows = [row(5, None, i * 37 % 1000 * 1000, i, ("planned", "edit", "draft")[i % 3]) for i in range(1000)]
+    want = stateful.Schedules.start
+    for r in sorted(rows, key=lambda r: (r["micros"], r["id"])):
+        want = stateful.Schedules().step(want, r["micros"], r["id"], r["action"])
+    for size, last in ((10_000, True), (300, True), (300, False)):
+        monkeypatch.setattr(stateful, "BLOCK_ROWS", size)
+        machine = stateful.InOrder(stateful.Schedules(), "user", last)
+        machine.init(handle := Handle())
+        list(machine.handleInputRows((5,), iter(rows), handle))
+        assert machine.waiting.sent == -(-1000 // size) and handle.timers == [1]
+        handle.watermark = 400
+        first = list(machine.handleExpiredTimer((5,), handle, None))
+        handle.watermark = 2000
+        second = list(machine.handleExpiredTimer((5,), handle, None))
+        assert (len(first), len(second)) == ((1, 1) if last else (400, 600)) and not machine.waiting.exists()
+        assert second[-1] == stateful.Row(user=5, serial=1000, status=want[0], needs_reconfirmation=want[1], actions=want[2])
+
+
+def test_last_steps_give_the_same_end(spark, tmp_path):
+    rows, source = machine_input(spark), str(tmp_path / "in")
+    end = rows.limit(1).select(F.lit(None).cast("long").alias("user"), F.lit(0).cast("long").alias("id"), F.timestamp_micros(F.lit(stateful.END_MICROS)).alias("ts"), F.lit("queued").alias("action"))
+    rows.unionByName(end).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    out = stateful.run_to_end(stateful.machine_steps(stream, "user", "ts", "id", "action", stateful.Jobs(12), last=True), str(tmp_path / "run"))
+    last = {r["user"]: (r["status"], r["since"], r["ended"], r["timeouts"], r["ignored"]) for r in out.where("user is not null").collect()}
+    assert last == walked(rows.collect(), stateful.Jobs(12)) and out.where("user is not null").count() == len(last)

@@ -16,12 +16,12 @@ def _action(**names: str) -> Column:
     return F.create_map(*[F.lit(x) for event, action in names.items() for x in (event, action)])[F.col("event_type")]
 
 
-def _streamed(spark: SparkSession, sf_dir: str, key: Column, name: str, action: Column, machine: Machine) -> DataFrame:
-    """All steps of a machine over the stream of events, from the first to the end."""
+def _streamed(spark: SparkSession, sf_dir: str, key: Column, name: str, action: Column, machine: Machine, last: bool = True) -> DataFrame:
+    """Steps of a machine over the stream of events, from the first to the end: the last made at once, or all."""
     path = new_folder(spark, "stream")
     stream = spark.readStream.schema(binding.usage(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select(key.alias(name), "ts", "event_id", action.alias("action")).where("action is not null")
-    return run_to_end(machine_steps(with_end(rows, path, name, "ts", "event_id", "action"), name, "ts", "event_id", "action", machine), path)
+    return run_to_end(machine_steps(with_end(rows, path, name, "ts", "event_id", "action"), name, "ts", "event_id", "action", machine, last=last), path)
 
 
 def _latest(steps: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -39,7 +39,7 @@ def schedule_states_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("invite_claims_streamed", SQL["invite_claims"])
 def invite_claims_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of invite codes in order of time, each emitted once; a code is exhausted after ten."""
-    steps = _streamed(spark, sf_dir, F.col("user_id") % 40, "code", _action(signup="claim"), Invites(10))
+    steps = _streamed(spark, sf_dir, F.col("user_id") % 40, "code", _action(signup="claim"), Invites(10), last=False)
     return steps.where("code is not null").select(F.col("id").alias("event_id"), "code", "claim", "accepted")
 
 

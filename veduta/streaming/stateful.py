@@ -1,12 +1,14 @@
 """State machines on streams, in the order of event time whatever the order of arrival.
 
-Rows wait in list state until the watermark passes them; a timer then steps the machine of their key through them
-in order. What a query has emitted therefore does not depend on how its input was cut into micro-batches."""
+Rows wait in list state, in blocks, until the watermark passes them; a timer then steps the machine of their key
+through them in order. What a query has emitted therefore does not depend on how its input was cut into micro-batches."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import batched
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_WAITING = "micros long, id long, action string"
+#: Rows that wait are state in blocks: a value of its own for each would go to the state server by itself.
+_WAITING = "block binary"
+BLOCK_ROWS = 10_000
 #: A row of no key, so late that the watermark passes everything before it.
 END_MICROS = 4_000_000_000_000_000
 
@@ -41,10 +45,11 @@ class Machine:
 class InOrder(StatefulProcessor):
     """Steps a ``Machine`` per key through its rows in order of (micros, id), once the watermark has passed them.
 
-    Every step emits the key, a serial number and the state after it."""
+    Every step emits the key, a serial number and the state after it; with ``last`` only the last step of
+    those that a timer makes does."""
 
-    def __init__(self, machine: Machine, key: str) -> None:
-        self.machine = machine
+    def __init__(self, machine: Machine, key: str, last: bool = False) -> None:
+        self.machine, self.last = machine, last
         self.names = [key, "serial", *[field.split()[0] for field in machine.schema.split(",")]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -53,20 +58,27 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["micros"], r["id"], r["action"]) for r in rows]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(m for m, _, _ in new) // 1000 + 1)
+        new = [(micros, id_, action) for *_, micros, id_, action in rows]
+        self.waiting.appendList(self._blocks(new))
+        self.handle.registerTimer(min(new)[0] // 1000 + 1)
         return iter(())
 
+    def _blocks(self, rows: list[tuple]) -> list[tuple[bytes]]:
+        return [(pickle.dumps(part, 5),) for part in batched(rows, BLOCK_ROWS)]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(row for (block,) in self.waiting.get() for row in pickle.loads(block)) if self.waiting.exists() else []
         due, later = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
         serial, *state = self.state.get() if self.state.exists() else (0, *self.machine.start)
-        state, out = tuple(state), []
+        state, out, before = tuple(state), [], serial
 
         def emit(new: tuple) -> tuple:
-            out.append(Row(**dict(zip(self.names, (*key, serial + len(out) + 1, *new), strict=True))))
+            nonlocal serial
+            serial += 1
+            if self.last:
+                out.clear()
+            out.append((*key, serial, *new))
             return new
 
         for micros, id_, action in due:
@@ -78,17 +90,17 @@ class InOrder(StatefulProcessor):
         if limit is not None and limit < passed and not (later and later[0][0] <= limit):
             state = emit(self.machine.expire(state))
             limit = self.machine.deadline(state)
-        if out:
-            self.state.update((serial + len(out), *state))
+        if serial > before:
+            self.state.update((serial, *state))
         if due:
             if later:
-                self.waiting.put(later)
+                self.waiting.put(self._blocks(later))
             else:
                 self.waiting.clear()
         following = [t for t in (limit, later[0][0] if later else None) if t is not None]
         if following:
             self.handle.registerTimer(max(min(following) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        return iter(out)
+        return (Row(**dict(zip(self.names, values, strict=True))) for values in out)
 
     def close(self) -> None:
         pass
@@ -159,13 +171,14 @@ class RateLimit(Machine):
         return (last, allowed, refused + 1) if micros < last + self.limit else (micros, allowed + 1, refused)
 
 
-def machine_steps(stream: DataFrame, key: str, ts: str, id_: str, action: str, machine: Machine, late: str = "0 seconds") -> DataFrame:
-    """key, serial and state after every step of every key's machine. Rows later than ``late`` are dropped."""
+def machine_steps(stream: DataFrame, key: str, ts: str, id_: str, action: str, machine: Machine, late: str = "0 seconds", last: bool = False) -> DataFrame:
+    """key, serial and state after every step of every key's machine, or with ``last`` after the last of those made
+    at once, which is enough for the state in the end. Rows later than ``late`` are dropped."""
     at = F.col(ts).cast("timestamp")
     rows = stream.select(key, at.alias("at"), F.unix_micros(at).alias("micros"), F.col(id_).cast("long").alias("id"), F.col(action).alias("action"))
     kind = rows.schema[key].dataType.simpleString()
     grouped = rows.withWatermark("at", late).groupBy(key)
-    return grouped.transformWithState(InOrder(machine, key), f"{key} {kind}, serial long, {machine.schema}", "Append", "EventTime")
+    return grouped.transformWithState(InOrder(machine, key, last), f"{key} {kind}, serial long, {machine.schema}", "Append", "EventTime")
 
 
 @contextmanager
