@@ -96,6 +96,24 @@ def test_reconcile(spark, staged, stored, outcome):
     assert guard["blocked"] == (set(outcome) != {"identity_match"})
 
 
+def test_reconcile_deals_staged_rows_once_by_identity_and_once_by_url(spark):
+    rows = [("s", "1", "u"), ("s", "1", "u"), ("s", "2", "v"), (None, "1", "u"), (None, "1", "u"), (None, "1", None), ("s", "3", "w"), ("s", "4", None)]
+    staged = spark.createDataFrame(rows, STAGED)
+    stored = spark.createDataFrame([("s", "2", "v", "e2"), ("s", "1", "u", "e1"), (None, "1", "u", "e3"), ("s", "5", None, "e4")], STORED)
+    want = sorted(["duplicate_staging", "duplicate_staging", "identity_match", "manual_review", "manual_review", "safe_insert", "safe_insert", "safe_insert"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for urls in (None, stored.unionAll(stored).select("url")):
+            out = reconcile(staged, stored, ["source", "source_event_id"], "url", "event_id", urls)
+            assert sorted(r["outcome"] for r in out.collect()) == want
+            assert {r["event_id"] for r in out.collect()} == {"e2", None}
+            assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 2
+            assert out._jdf.queryExecution().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_field_plan(spark):
     cases = [
         ("19:00", None, True, True, 1, 1, False, "protected_from_null"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veduta.functions.dates import clock
@@ -12,24 +14,27 @@ from veduta.functions.text import squeeze
 from veduta.operators.rules import cascade
 
 
-def reconcile(staged: DataFrame, stored: DataFrame, identity: Sequence[str], url: str, stored_id: str) -> DataFrame:
+def reconcile(staged: DataFrame, stored: DataFrame, identity: Sequence[str], url: str, stored_id: str, urls: DataFrame | None = None) -> DataFrame:
     """Staged rows with ``outcome`` and the stored row each is matched with (``stored_id`` or null).
 
     Order of tests: staged identity repeated (``duplicate_staging``); identity found more than once
     (``one_to_many``); identity found (``identity_match``); url found (``manual_review``: an url alone
-    never identifies); else ``safe_insert``. Multiplicities are aggregated on each side before any
-    join, so that repeated keys do not multiply."""
+    never identifies); else ``safe_insert``. Multiplicities are counted on each side before any
+    join, so that repeated keys do not multiply; staged rows are dealt by identity once, for their
+    count and the join. ``urls`` may give the urls of ``stored``, with repeats, where they can be had
+    without making its rows."""
     keys = list(identity)
-    staged_n = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_staged"))
+    named = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    counted = staged.withColumn("_staged", F.when(named, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     by_identity = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_stored"), F.min(stored_id).alias("_id"))
-    by_url = stored.where(F.col(url).isNotNull()).groupBy(url).agg(F.count(F.lit(1)).alias("_urls"))
-    joined = staged.join(staged_n, keys, "left").join(by_identity, keys, "left").join(by_url, url, "left")
+    by_url = (stored if urls is None else urls).where(F.col(url).isNotNull()).select(url).distinct().withColumn("_known", F.lit(True))
+    joined = counted.join(by_identity, keys, "left").join(by_url, url, "left")
     outcome = cascade(
         [
             (F.col("_staged") > 1, "duplicate_staging"),
             (F.col("_stored") > 1, "one_to_many"),
             (F.col("_stored") == 1, "identity_match"),
-            (F.col("_urls") >= 1, "manual_review"),
+            (F.col("_known"), "manual_review"),
         ],
         "safe_insert",
     )
